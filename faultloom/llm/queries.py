@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, line_dedup, mixing, packing, quality, secret_scan
+from . import ann, exact_dedup, langid, line_dedup, mixing, packing, quality, secret_scan
 from .common import WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op1_line_dedup": op1_line_dedup,
         "op2_mixing": op2_mixing,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_nearest": op5_nearest,
         "op6_quality": op6_quality,
         "op7_secret_scan": op7_secret_scan,
         "op8_language_id": op8_language_id,
