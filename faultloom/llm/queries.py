@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, langid, line_dedup, mixing, packing, quality, secret_scan
+from . import ann, exact_dedup, langid, line_dedup, minhash, mixing, packing, quality, secret_scan
 from .common import WORD, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=("held_out",))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op6_quality": op6_quality,
         "op7_secret_scan": op7_secret_scan,
         "op8_language_id": op8_language_id,
+        "op9_near_dedup": op9_near_dedup,
         "op10_packing": op10_packing,
     }
 
