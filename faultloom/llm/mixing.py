@@ -78,11 +78,11 @@ def mix(
     seed: int = 17,
     buckets: int = 4096,
 ) -> DataFrame:
-    """One row per document: ``id_col, size, source_size, target, taken``.
+    """One row per document: ``id_col, size, source_size, target, taken, copies``.
 
     ``size`` is the number of words (runs of characters other than ASCII white
     space; a null text has 0), ``taken`` the words the mix takes from the document,
-    repeats counted.  ``quality`` has ``id_col`` and a positive ``weight``; documents
+    repeats counted, ``copies`` how often it takes it.  ``quality`` has ``id_col`` and a positive ``weight``; documents
     without one weigh 1.  Sources are ordered by code point with null last.  The last
     document of a budget is taken if that brings the source nearer to its target.
     Rows with the same id count as separate documents; ties of the key go by id, then
@@ -123,11 +123,13 @@ def mix(
         .withColumn("epochs", epochs)
         .withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("middle", 2 * (F.col("start") + F.col("upto")) - F.col("size"))
+        .withColumn("copies", (F.col("epochs") + (F.col("middle") < 2 * F.col("rest")).cast("long")).cast("long"))
         .select(
             F.col("id").alias(id_col),
             "size",
             "source_size",
             "target",
-            (F.col("size") * (F.col("epochs") + (F.col("middle") < 2 * F.col("rest")).cast("long"))).cast("long").alias("taken"),
+            (F.col("size") * F.col("copies")).alias("taken"),
+            "copies",
         )
     )

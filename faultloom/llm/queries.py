@@ -21,7 +21,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), quality=mixing.label_weights(table(spark, sf_dir, "labels")))
+    return mixing.mix(table(spark, sf_dir, "documents"), quality=mixing.label_weights(table(spark, sf_dir, "labels"))).drop("copies")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
