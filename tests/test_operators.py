@@ -124,3 +124,15 @@ def test_camel_case_rewrite_is_equal(spark):
     spaced = F.regexp_extract_all(F.regexp_replace("w", "([A-Z]+)([A-Z][a-z])", "$1 $2"), F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0))
     assert df.filter(plain != spaced).count() == 0
     assert list(itertools.islice(words, 1))
+
+
+def test_structured_reports(spark):
+    from faultloom.operators.reports import structured_reports, totals
+
+    paras = ["T ", "D", "INFO org.apache.hadoop.X: a", "words", "  at a.B.c(B.java:1)", "see SomeError", "x Caused by: y", "Caused by: z.QException: q", "WARN org.apache.hadoop.Y: b", "at lone words", "at d.E.f(E.java)"]
+    out = structured_reports(spark.createDataFrame([("f", paras), ("g", ["only"]), ("h", [])], "file string, paras array<string>")).cache()
+    got = {r["file"]: r for r in out.collect()}
+    assert (got["f"]["title"], got["f"]["description"]) == ("T", "D") and got["g"]["title"] == ""
+    assert got["f"]["logs"] == ["INFO org.apache.hadoop.X: a", "WARN org.apache.hadoop.Y: b"]
+    assert got["f"]["stack_traces"] == ["at a.B.c(B.java:1)\nsee SomeError\nCaused by: z.QException: q", "at d.E.f(E.java)"]
+    assert tuple(totals(out).first()) == (3, 2, 2)
