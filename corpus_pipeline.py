@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultloom.llm import langid, line_dedup, minhash, mixing, packing
-from faultloom.llm.common import materialize, table
+from faultloom.llm.common import materialize, sweep, table, written
 from faultloom.llm.queries import default_tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -80,7 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, start = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        sweep(spark, start)  # the stage's own tables, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)

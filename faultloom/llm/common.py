@@ -14,6 +14,10 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Tables that ``materialize`` wrote in this process, in order.
+_written: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,9 +38,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/faultloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables have been written so far; a mark for ``sweep``."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the tables written after the mark ``since``, but the last ``keep``.
+
+    For callers that have written their result: a returned DataFrame still reads its
+    tables, so queries leave theirs to the folder's retention.
+    """
+    end = len(_written) - keep
+    for path in _written[since:end]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[since:end]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
