@@ -50,12 +50,14 @@ def closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> Dat
     e = cut(edges.select("src", "dst").distinct())
     reached = cut(starts.select(F.col("node").alias("start"), "node").distinct())
     frontier = reached
-    for _ in range(most_rounds):
+    for k in range(most_rounds):
         step = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(reached, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        reached = cut(reached.unionByName(frontier))
+        # frontiers are checkpoints: their union needs one of its own only now and then
+        reached = reached.unionByName(frontier)
+        reached = cut(reached) if k % 10 == 9 else reached
     return reached
 
 
