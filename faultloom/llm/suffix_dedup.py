@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,40 +132,91 @@ def _anchored(length: int, gram: int):
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [zlib.compress((t.as_py() or "").encode("utf-8", "replace"), 1) for t in batch.column(1)]
+        packed = [zstandard.compress((t.as_py() or "").encode("utf-8", "replace"), 3) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Spans of repeated bytes (``id, begin, end``, unmerged), and ``texts`` packed.
+def _around(length: int, gram: int):
+    """Pieces of text around anchors, by shard; strings around hot anchors by hash.
 
-    ``texts`` has a unique ``id`` and ``text``.
+    In comes ``id, packed, at`` with places and shards (-1: hot) of a text's anchors.
+    Neighbourhoods of one text that overlap in one shard are one piece.
+    """
+    before, after, odd = length - gram, length, _U(0xA0761D6478BD642F)
+    names = ["shard", "id", "begin", "piece", "h1", "h2"]
+
+    def pieces(data: bytes, place: np.ndarray, shard: np.ndarray):
+        order = np.lexsort((place, shard))
+        place, shard = place[order], shard[order]
+        begin, end = np.maximum(place - before, 0), np.minimum(place + after, len(data))
+        heads = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (begin[1:] > end[:-1])))
+        lasts = np.append(heads[1:] - 1, len(place) - 1)
+        return shard[heads].tolist(), begin[heads].tolist(), end[lasts].tolist()
+
+    def strings(data: bytes, place: np.ndarray):
+        starts = np.unique((place[:, None] - np.arange(before + 1)).ravel())
+        starts = starts[(starts >= 0) & (starts + length <= len(data))]
+        for lot in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+            for cut in range(0, len(lot), SLICE):
+                own = lot[cut : cut + SLICE]
+                if len(own):
+                    part = np.frombuffer(data, np.uint8)[own[0] : own[-1] + length]
+                    yield own, gram_hashes(part, length), gram_hashes((part.astype(_U) * odd >> _U(56)).astype(np.uint8) ^ part, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            hot: list[list[np.ndarray]] = [[], [], [], []]
+            at = batch.column(2)
+            offsets, flat = at.offsets.to_numpy(), at.values
+            places, shards = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, (row, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                data = zstandard.decompress(packed.as_py())
+                place, shard = places[offsets[i] : offsets[i + 1]], shards[offsets[i] : offsets[i + 1]]
+                cold = shard >= 0
+                if cold.any():
+                    for k, b, e in zip(*pieces(data, place[cold], shard[cold]), strict=True):
+                        for column, value in zip(out, (k, row, b, data[b:e]), strict=True):
+                            column.append(value)
+                if not cold.all():
+                    for own, h1, h2 in strings(data, place[~cold]):
+                        for column, value in zip(hot, (np.full(len(own), row), own, h1.view(np.int64), h2.view(np.int64)), strict=True):
+                            column.append(value)
+            n = len(out[0])
+            none = lambda n, kind: pa.nulls(n, kind)
+            cold_columns = [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cold_columns, none(n, pa.int64()), none(n, pa.int64())], names)
+            if hot[0]:
+                ids, begins, h1, h2 = (pa.array(np.concatenate(c).astype(np.int64)) for c in hot)
+                yield pa.RecordBatch.from_arrays([none(len(ids), pa.int32()), ids, begins, none(len(ids), pa.binary()), h1, h2], names)
+
+    return run
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+    """Spans of repeated bytes, ``id, begin, end``, unmerged.
+
+    ``texts`` has a unique ``id`` and ``text``.  All occurrences of an anchor go to one
+    shard, named by the first text that has it: texts that share much share that first
+    text, so their neighbourhoods join to long pieces.  The anchors of a first text that
+    would fill more than a shard are dealt over several.
     """
-    before, after = length - gram, length
     all_anchors = materialize(texts.mapInArrow(_anchored(length, gram), "anchor long, id long, place long"), "anchors")
-    repeated = materialize(all_anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
-    places = materialize(
-        all_anchors.join(repeated, "anchor").groupBy("id").agg(F.collect_list(F.struct("place", "anchor", "n")).alias("at")), "places"
+    repeated = materialize(
+        all_anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1"), "repeated"
     )
-    packed = materialize(texts.mapInArrow(_packed, "id long, packed binary"), "packed")
     total = repeated.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, math.ceil(total * (before + after) / shard_bytes))
-
-    def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row, data = batch.column(0)[i].as_py(), zlib.decompress(batch.column(1)[i].as_py())
-                at = [x for x in batch.column(2)[i].as_py() if x["n"] <= hot]
-                begins = [max(0, x["place"] - before) for x in at]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x["anchor"] % shards for x in at], pa.int32()),
-                        pa.array([row] * len(at), pa.int64()),
-                        pa.array(begins, pa.int64()),
-                        pa.array([data[b : x["place"] + after] for b, x in zip(begins, at, strict=True)], pa.binary()),
-                    ],
-                    ["shard", "id", "begin", "piece"],
-                )
+    shards = max(1, math.ceil(total * length / shard_bytes))
+    loads = repeated.groupBy("first").agg(F.sum("n").alias("load"))
+    lots = F.ceil(F.col("load") * length / shard_bytes)
+    slot = F.pmod(F.xxhash64("first", F.pmod("anchor", lots)), F.lit(shards)).cast("int")
+    routed = materialize(
+        repeated.join(loads, "first").select("anchor", F.when(F.col("n") > hot, F.lit(-1)).otherwise(slot).alias("shard")), "routed"
+    )
+    places = all_anchors.join(routed, "anchor").groupBy("id").agg(F.collect_list(F.struct("place", "shard")).alias("at"))
+    packed = texts.mapInArrow(_packed, "id long, packed binary")
+    shape = "shard int, id long, begin long, piece binary, h1 long, h2 long"
+    around = materialize(packed.join(places, "id").select("id", "packed", "at").mapInArrow(_around(length, gram), shape), "pieces")
 
     def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found: dict[bytes, list[int]] = {}
@@ -183,39 +234,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
         columns = map(np.concatenate, zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
         return pd.DataFrame(dict(zip(("id", "begin", "end"), columns, strict=True)))
 
-    joined = packed.join(places, "id").select("id", "packed", "at")
-    around = joined.mapInArrow(neighbourhoods, "shard int, id long, begin long, piece binary")
-    spans = materialize(around.groupBy("shard").applyInPandas(scan, "id long, begin long, end long"), "spans")
-    if repeated.filter(F.col("n") > hot).limit(1).count():
-        spans = spans.union(_hot_spans(joined, length, gram, hot))
-    return spans, packed
-
-
-def _hot_spans(joined: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """Spans around anchors that are too frequent for one shard, by hashes of strings."""
-    odd = _U(0xA0761D6478BD642F)
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row, data = batch.column(0)[i].as_py(), np.frombuffer(zlib.decompress(batch.column(1)[i].as_py()), np.uint8)
-                at = np.array([x["place"] for x in batch.column(2)[i].as_py() if x["n"] > hot], np.int64)
-                starts = np.unique((at[:, None] - np.arange(length - gram + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts + length <= len(data))]
-                for lot in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    for cut in range(0, len(lot), SLICE):
-                        own = lot[cut : cut + SLICE]
-                        if len(own):
-                            part = data[own[0] : own[-1] + length]
-                            columns = gram_hashes(part, length), gram_hashes((part.astype(_U) * odd >> _U(56)).astype(np.uint8) ^ part, length)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(len(own), row)), pa.array(own), *(pa.array(c.view(np.int64)) for c in columns)],
-                                ["id", "begin", "h1", "h2"],
-                            )
-
-    rows = materialize(joined.mapInArrow(strings, "id long, begin long, h1 long, h2 long"), "strings")
-    twice = materialize(rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h1", "h2"), "twice")
-    return rows.join(twice, ["h1", "h2"]).select("id", "begin", (F.col("begin") + length).alias("end"))
+    cold = around.filter("shard IS NOT NULL").select("shard", "id", "begin", "piece")
+    spans = cold.groupBy("shard").applyInPandas(scan, "id long, begin long, end long")
+    strings = around.filter("shard IS NULL").select("id", "begin", "h1", "h2")
+    twice = materialize(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h1", "h2"), "twice")
+    return spans.union(strings.join(twice, ["h1", "h2"]).select("id", "begin", (F.col("begin") + length).alias("end")))
 
 
 def suffix_dedup(
@@ -239,14 +262,15 @@ def suffix_dedup(
     else:
         kept = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "texts")
         texts, names = kept.select("id", "text"), kept.select("id", "doc")
-    spans, packed = repeated_spans(texts, length, gram, shard_bytes, hot)
+    spans = repeated_spans(texts, length, gram, shard_bytes, hot)
+    packed = texts.mapInArrow(_packed, "id long, packed binary")
     per_text = materialize(spans.groupBy("id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "text-spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, count, digest, left = [], [], [], [], []
             for i in range(batch.num_rows):
-                data, kept, end, removed, n = zlib.decompress(batch.column(1)[i].as_py()), [], 0, 0, 0
+                data, kept, end, removed, n = zstandard.decompress(batch.column(1)[i].as_py()), [], 0, 0, 0
                 for x in sorted((x["begin"], x["end"]) for x in batch.column(2)[i].as_py() or ()):
                     if x[0] > end or not n:
                         kept.append(data[end : x[0]])
