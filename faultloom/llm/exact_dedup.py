@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty
+from .common import materialize, shuffle_partitions, text_or_empty
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -89,7 +89,8 @@ def exact_dedup(
     row is kept.  An empty table gives an empty result, and further columns of the
     input, whatever their names, are ignored.
     """
-    groups = exact_groups(docs, id_col, text_col, keep, edge_chars)
+    # Written out, so that the join below may split a hot digest's rows over tasks.
+    groups = materialize(exact_groups(docs, id_col, text_col, keep, edge_chars), "equal-texts")
     rows = docs.select(
         F.col(id_col).alias("row_id"),
         F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256).alias("digest"),
