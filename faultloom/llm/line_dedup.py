@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest128
+from .common import digest128, materialize
 
 RATIO = 0.08
 LEAST_PAGES = 5
@@ -91,6 +91,8 @@ def drop_site_lines(
             ).alias("boilerplate"),
         )
     )
+    # Written out, so that the join may split a hot host's pages over tasks.
+    per_site = materialize(per_site, "sites")
     split = F.col("__lines")
     stays = F.filter(split, lambda x: (trimmed(x) == "") | ~F.array_contains("boilerplate", _hash(trimmed(x))))
     out = (
