@@ -92,17 +92,17 @@ def drop_site_lines(
         )
     )
     # Written out, so that the join may split a hot host's pages over tasks.
-    per_site = materialize(per_site, "sites")
-    split = F.col("__lines")
-    stays = F.filter(split, lambda x: (trimmed(x) == "") | ~F.array_contains("boilerplate", _hash(trimmed(x))))
+    per_site = materialize(per_site, "sites").select(*(F.col(c).alias(f"__{c}") for c in per_site.columns))
+    split, boilerplate = F.col("__lines"), F.col("__boilerplate")
+    stays = F.filter(split, lambda x: (trimmed(x) == "") | ~F.array_contains(boilerplate, _hash(trimmed(x))))
     out = (
-        pages.select(*kept, site.alias("site"), lines.alias("__lines"))
-        .join(per_site, "site")
-        .withColumn("__kept", F.when(F.size("boilerplate") > 0, stays).otherwise(split))
+        pages.select(*kept, site.alias("__site"), lines.alias("__lines"))
+        .join(per_site, "__site")
+        .withColumn("__kept", F.when(F.size(boilerplate) > 0, stays).otherwise(split))
     )
     return out.select(
         *(F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in kept),
-        F.col("site_pages").alias("host_pages"),
+        F.col("__site_pages").alias("host_pages"),
         F.greatest(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.greatest(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )
