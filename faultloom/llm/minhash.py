@@ -11,11 +11,14 @@ all registers should have a point, and goes on only if one has none.
 Texts that agree in a band of registers are candidates; a link is a pair whose exact
 multiset overlap reaches the threshold, and classes are connected components of links.
 
-Scale.  Copies (equal word sequences) are one node.  In a bucket every member is first
+Scale.  Copies (equal word sequences) are one node.  Shingles that no other candidate
+has bound a pair's overlap from above; pairs that cannot reach the threshold by this
+bound are never made.  In a bucket every member is first
 compared with one member, the one with the most companions over all bands, so a hot
-bucket costs its size, not its square.  Only members whose component differs from the
-bucket's main one are then compared with the rest of the bucket: no link between
-different components is left unverified.  Components are found by alternating large
+bucket costs its size, not its square.  In a few turns members are then compared with
+some drawn from the bucket, if their components differ still.  What is left, texts of
+buckets that hold several components, is settled exactly by an index of their rarest
+shingles: any link between different components that is left shares one of them.  Components are found by alternating large
 and small stars on tables; nothing that grows with the input comes to the driver.
 """
 
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -35,6 +38,10 @@ BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
 #: A register is empty at the stopping time with probability exp(-SURE) / registers.
 SURE = 6.0
+#: Members drawn from a bucket that every other member is compared with, and how often.
+SAMPLES, SAMPLE_TURNS = 6, 1
+#: The two ids of a pair, as the expressions that ``select`` takes.
+_PAIR = ("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b")
 
 _U = np.uint64
 
@@ -157,6 +164,29 @@ def overlap(a: bytes, b: bytes) -> float:
     return common / (len(both) - common) if len(both) else 0.0
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units of bags, one row each."""
+    for batch in batches:
+        bags = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+        ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(b) for b in bags])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))], ["id", "unit"])
+
+
+def shareable(bags: DataFrame) -> DataFrame:
+    """``id, size, shared``: units of each bag, and those that another bag has too."""
+    units = bags.mapInArrow(_units, "id long, unit long")
+    alone = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).filter("n = 1")
+    own = alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    size = (F.octet_length("bag") / 8).cast("long")
+    return bags.select("id", size.alias("size")).join(own, "id", "left").select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _can_link(x: str, y: str, threshold: float):
+    """Whether two bags share enough at best: a link needs threshold/(1+threshold) of both sizes."""
+    best = F.least(f"{x}.shared", f"{y}.shared", f"{x}.size", f"{y}.size")
+    return best * (1 + threshold) + 1e-6 >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * threshold
+
+
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``a, b`` whose bags overlap enough, with ``similarity``."""
 
@@ -192,6 +222,37 @@ def components(edges: DataFrame) -> DataFrame:
         stars = materialize(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
 
 
+def _mixed_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with ``root`` of buckets that hold several components, and their ``main``."""
+    roots = components(links)
+    rooted = members.join(roots, "id", "left").select("id", "x", "band", "bucket", F.coalesce("root", "id").alias("root"))
+    sides = rooted.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    main = sides.groupBy("band", "bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    return materialize(rooted.join(main.select("band", "bucket", F.col("main.root").alias("main")), ["band", "bucket"]), "mixed")
+
+
+def _rare_pairs(texts: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of ``texts`` (``id, size, root``) in different components that may be linked.
+
+    Of two linked bags the larger has so many units of the smaller that it has one of
+    any ``size - needed + 1`` of them: of its rarest, which few others have.  So units
+    are ordered by how many bags have them, and each bag's rarest are looked up.
+    """
+    texts = materialize(texts, "open")
+    units = materialize(bags.join(texts.select("id"), "id", "left_semi").mapInArrow(_units, "id long, unit long").join(texts, "id"), "units")
+    spread = units.groupBy("unit").agg(F.count(F.lit(1)).alias("bags")).filter("bags > 1")
+    known = units.join(spread, "unit")
+    # Units of one bag alone come first in the order; they are counted, not looked up.
+    alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("id"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("bags", "unit")) + alone
+    needed = F.ceil(F.col("size") * (2 * threshold / (1 + threshold)) - 1e-6)
+    rare = known.withColumn("place", place).filter(F.col("place") <= F.col("size") - needed + 1).select("unit", "id", "size", "root")
+    other = units.select("unit", F.col("id").alias("y"), F.col("size").alias("y_size"), F.col("root").alias("y_root"))
+    fits = (F.col("root") != F.col("y_root")) & (F.col("size") <= F.col("y_size")) & (F.col("size") + 1e-6 >= F.col("y_size") * threshold)
+    pairs = rare.join(other, "unit").filter(fits)
+    return pairs.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -221,32 +282,36 @@ def near_duplicates(
     members = materialize(placed.join(crowds, ["band", "bucket"]), "members")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
     members = materialize(members.join(degree, "id"), "members")
-    hubs = members.groupBy("band", "bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("hub"))
-    stars = members.join(hubs, ["band", "bucket"]).select("id", (-F.col("hub.minus")).alias("hub")).filter("id <> hub")
-    pair = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
-    first = materialize(stars.select(*pair).distinct(), "pairs")
-
     needed = nodes.join(degree.select("id"), "id").select("id", "h1", "h2")
     bags = materialize(
         texts.join(needed.select("id").distinct(), "id", "left_semi").mapInArrow(_bagged, "id long, h1 long, h2 long, bag binary")
         .join(needed, ["id", "h1", "h2"], "left_semi").select("id", "bag"),
         "bags",
     )
-    links = materialize(verified(first, bags, threshold), "links")
-    roots = components(links)
-    # What the stars did not settle: members outside the main component of a bucket.
-    rooted = materialize(
-        members.join(roots, "id", "left").select("id", "band", "bucket", "n", F.coalesce("root", "id").alias("root")), "members"
-    )
-    sides = rooted.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = sides.groupBy("band", "bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    mixed = materialize(rooted.join(main.select("band", "bucket", F.col("main.root").alias("main")), ["band", "bucket"]), "mixed")
-    minor = mixed.filter("root <> main").select("band", "bucket", F.col("id").alias("x"), F.col("root").alias("x_root"))
-    others = mixed.select("band", "bucket", F.col("id").alias("y"), F.col("root").alias("y_root"), (F.col("root") == F.col("main")).alias("in_main"))
-    rest = (
-        minor.join(others, ["band", "bucket"]).filter("x_root <> y_root AND (in_main OR x < y)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    # A text most of whose units no other candidate has cannot be linked at all.
+    parts = shareable(bags).filter(F.col("shared") + 1e-6 >= F.col("size") * threshold)
+    members = materialize(
+        members.join(parts, "id").select("band", "bucket", "degree", F.struct("id", "size", "shared").alias("x"), "id"), "members"
     )
+    hubs = members.groupBy("band", "bucket").agg(F.max_by("x", F.struct("degree", -F.col("id"))).alias("y"))
+    first = members.join(hubs, ["band", "bucket"]).filter((F.col("x.id") != F.col("y.id")) & _can_link("x", "y", threshold))
+    first = materialize(first.selectExpr(*_PAIR).distinct(), "pairs")
+    tried, links = first, materialize(verified(first, bags, threshold), "links")
+    for turn in range(SAMPLE_TURNS):
+        mixed = _mixed_buckets(members, links)
+        # a few members of each bucket, others each turn; a group of n costs n per sample
+        draws = (F.min(F.struct(F.xxhash64("id", F.lit(turn * SAMPLES + j)), "x", F.col("root").alias("y_root"))) for j in range(SAMPLES))
+        drawn = mixed.groupBy("band", "bucket").agg(F.array(*draws).alias("drawn")).select("band", "bucket", F.explode("drawn").alias("s"))
+        drawn = drawn.select("band", "bucket", F.col("s.x").alias("y"), "s.y_root")
+        pairs = (
+            mixed.join(drawn, ["band", "bucket"]).filter((F.col("root") != F.col("y_root")) & _can_link("x", "y", threshold))
+            .selectExpr(*_PAIR).distinct().join(tried, ["a", "b"], "left_anti")
+        )
+        pairs = materialize(pairs, "pairs")
+        found = materialize(verified(pairs, bags, threshold), "links")
+        tried, links = tried.union(pairs), links.union(found)
+    mixed = _mixed_buckets(members, links)
+    rest = _rare_pairs(mixed.select("x.id", "x.size", "root").distinct(), bags, threshold).join(tried, ["a", "b"], "left_anti")
     links = links.union(materialize(verified(materialize(rest, "pairs"), bags, threshold), "links"))
     # Rows that repeat an id with another text tie that text's node to the id's class.
     again = some.join(nodes.select("h1", "h2", F.col("id").alias("node")), ["h1", "h2"])
