@@ -29,20 +29,23 @@ ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
-#: Candidate tokens: 20 or more token characters, a digit and a letter among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,512}(?![A-Za-z0-9+/_-])"
+#: Candidate tokens: runs of 20 or more token characters, however long, a digit and a
+#: letter among them.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
 #: Bits a character that the best window must reach, per character class.
 HEX_BITS, BASE64_BITS = 3.0, 3.6
 
-#: Harmless look-alikes: UUIDs, dates and versions in names, paths, examples.
+#: Harmless look-alikes: UUIDs, dates and versions in names, paths, examples.  Repeated
+#: groups are possessive: nothing they give back could match, and the JVM then loops
+#: over them in place of a recursion, whose stack a long token would overflow.
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|lorem)",
     r"(?i)(0123456789|abcdefghij|qwertyuiop)",
-    r"^[A-Za-z]+([/_-][A-Za-z]+)*[/_-]?[0-9]{1,4}$",
-    r"^/?([a-z0-9_-]{1,16}/){2,}[a-z0-9_-]{0,24}$",
+    r"^[A-Za-z]+([/_-][A-Za-z]+)*+[/_-]?[0-9]{1,4}$",
+    r"^/?([a-z0-9_-]{1,16}/){2,}+[a-z0-9_-]{0,24}$",
 )
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -81,25 +84,30 @@ def window_bits(token: Column, window: int = WINDOW) -> Column:
     the running sum change.  A token shorter than the window gives null.
     """
     chars = F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    codes = F.filter(chars, lambda c: c > 0)
-    n = F.size(codes)
     counts0 = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
     start = F.struct(counts0.alias("c"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("least"))
     gain = F.array(*(F.lit(0.0 if c < 1 else _clogc(c + 1) - _clogc(c)) for c in range(window + 2)))
 
-    def step(acc, i):
-        enter = F.element_at(codes, i)
-        leave = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
-        c_in = F.element_at(acc["c"], enter)
-        summed = acc["sum"] + F.element_at(gain, c_in + 1)
-        c_out = F.when(leave > 0, F.element_at(acc["c"], F.greatest(leave, F.lit(1))) + (enter == leave).cast("int")).otherwise(F.lit(1))
-        summed = F.when(leave > 0, summed - F.element_at(gain, F.greatest(c_out, F.lit(1)))).otherwise(summed)
-        counts = F.transform(acc["c"], lambda v, j: v + (j + 1 == enter).cast("int") - (j + 1 == leave).cast("int"))
-        least = F.when(i >= window, F.least(acc["least"], summed)).otherwise(acc["least"])
-        return F.struct(counts.alias("c"), summed.alias("sum"), least.alias("least"))
-
-    folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["least"])
-    return F.when(n >= window, F.log2(F.lit(float(window))) - folded / float(window))
+    def bits(codes):
+        n = F.size(codes)
+
+        def step(acc, i):
+            enter = F.element_at(codes, i)
+            leave = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
+            c_in = F.element_at(acc["c"], enter)
+            summed = acc["sum"] + F.element_at(gain, c_in + 1)
+            c_out = F.when(leave > 0, F.element_at(acc["c"], F.greatest(leave, F.lit(1))) + (enter == leave).cast("int")).otherwise(F.lit(1))
+            summed = F.when(leave > 0, summed - F.element_at(gain, F.greatest(c_out, F.lit(1)))).otherwise(summed)
+            counts = F.transform(acc["c"], lambda v, j: v + (j + 1 == enter).cast("int") - (j + 1 == leave).cast("int"))
+            least = F.when(i >= window, F.least(acc["least"], summed)).otherwise(acc["least"])
+            return F.struct(counts.alias("c"), summed.alias("sum"), least.alias("least"))
+
+        folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: acc["least"])
+        return F.when(n >= window, F.log2(F.lit(float(window))) - folded / float(window))
+
+    # Bound once as a lambda's variable: named in the step, the codes would be computed
+    # anew at every character, and the fold would grow with the square of the length.
+    return F.get(F.transform(F.array(F.filter(chars, lambda c: c > 0)), bits), F.lit(0))
 
 
 def _entropy_spans(text: Column) -> Column:

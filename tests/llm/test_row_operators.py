@@ -102,3 +102,19 @@ def test_window_entropy(spark):
     for token in ("abcdefghij0123456789", "aaaaabbbbbccccc11111", "q7Zp2LxV9mKt4RbW8sYc1Nd6aaaaaaaaaaaaaaaa"):
         best = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(token[i : i + 20]).values()) for i in range(len(token) - 19))
         assert abs(spark.range(1).select(secret_scan.window_bits(F.lit(token)).alias("b")).first()["b"] - best) < 1e-9
+
+
+def test_long_tokens_are_candidates(spark):
+    import random
+    import string
+
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+    texts = ["key " + draw(512) + " end", "key " + draw(513) + " end", "key " + draw(6000) + ".", draw(60_000), "a1" * 5000 + "q7Zp2LxV9mKt4RbW8sYc1Nd6", "a-" * 20_000 + "b7", "ab/" * 20_000 + "c1"]
+    assert not any(w in t.lower() for t in texts for w in ("xxxx", "lorem", "dummy", "sample"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["f"] for r in secret_scan.scan_secrets(df).select("doc_id", secret_scan.spans_text(F.col("found")).alias("f")).collect()}
+    assert [got[i] for i in range(4)] == ["entropy:4:516", "entropy:4:517", "entropy:4:6004", "entropy:0:60000"]
+    assert [got[i] for i in range(5, 7)] == ["", ""]
+    # the run of hex digits is a finding of its own, which an entropy finding may not overlap
+    assert got[4] == "hex:0:10000"
