@@ -437,21 +437,35 @@ _CALLABLE_SQL = """cb AS (SELECT p_partkey AS id, 'c.P' || p_size AS class, 'm'
     st AS (SELECT l_orderkey * 10 + l_linenumber AS id, 1 + l_orderkey % 200 AS enclosing, l_partkey AS callee FROM lineitem WHERE l_orderkey % 29 = 1 AND l_suppkey % 3 > 0), ed AS (SELECT DISTINCT enclosing AS src, callee AS dst FROM st)"""
 
 
-@_query(f"""WITH RECURSIVE {_CALLABLE_SQL}, rc(t, n) AS (SELECT id, id FROM cb WHERE id % 4 = 0 UNION SELECT t, dst FROM rc JOIN ed ON n = src),
+_CALL_SITES = "l_orderkey % 29 = 1 AND l_suppkey % 3 > 0"
+_STATIC_SQL = f"""WITH RECURSIVE {_CALLABLE_SQL}, rc(t, n) AS (SELECT id, id FROM cb WHERE id % 4 = 0 UNION SELECT t, dst FROM rc JOIN ed ON n = src),
     hit AS (SELECT DISTINCT dst FROM ed WHERE src IN (SELECT id FROM cb WHERE id % 4 = 0)),
     ct AS (SELECT enclosing, count(*) AS total, count(hit.dst) AS hit FROM (SELECT DISTINCT * FROM st) s LEFT JOIN hit ON callee = dst GROUP BY 1)
     SELECT DISTINCT m.file AS "filePath", m.class || '.' || m.name || '()' AS "methodSig", coalesce(hit, 0)::INT AS "internalCovered", coalesce(total, 0)::INT AS "internalTotal", t.class || '.' || t.name || '@' || t.start_line AS "coveringTest"
-    FROM rc JOIN cb m ON m.id = n AND m.id % 4 IN (1, 2) JOIN cb t ON t.id = rc.t LEFT JOIN ct ON enclosing = m.id""")
-def static_coverage(spark, sf_dir):
+    FROM rc JOIN cb m ON m.id = n AND m.id % 4 IN (1, 2) JOIN cb t ON t.id = rc.t LEFT JOIN ct ON enclosing = m.id"""
+
+
+def _static_coverage(spark, sf_dir, calls: DataFrame) -> DataFrame:
     k = F.col("p_partkey") % 4
     file = F.when(k == 0, "src/java/test/T.java").when(k == 1, "src/java/main/M.java").when(k == 2, "src/java/generated/G.java").otherwise("doc/x")
     name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
     callables = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("c.P"), F.col("p_size").cast("string")).alias("class"), name.alias("name"), F.concat(name, F.lit("()")).alias("signature"), file.alias("file"), F.col("p_size").alias("start_line"))
-    sites = _t(spark, sf_dir, "lineitem").filter("l_orderkey % 29 = 1 AND l_suppkey % 3 > 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (1 + F.col("l_orderkey") % 200).alias("enclosing"), F.col("l_partkey").alias("callee"))
+    sites = calls.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (1 + F.col("l_orderkey") % 200).alias("enclosing"), F.col("l_partkey").alias("callee"))
     edges = coverage.direct_edges(sites, sites.limit(0))
     return coverage.coverage_summary(coverage.file_kind(callables, "zookeeper"), sites, edges)
 
 
+@_query(_STATIC_SQL)
+def static_coverage(spark, sf_dir):
+    """Over the call sites that its SQL selects; ``static_coverage_whole`` takes all."""
+    return _static_coverage(spark, sf_dir, _t(spark, sf_dir, "lineitem").filter(_CALL_SITES))
+
+
+@_query(_STATIC_SQL.replace(f" WHERE {_CALL_SITES}", ""))
+def static_coverage_whole(spark, sf_dir):
+    return _static_coverage(spark, sf_dir, _t(spark, sf_dir, "lineitem"))
+
+
 @_query("""SELECT 'src/java/' || p_brand AS class, p_type AS name FROM part WHERE p_size % 2 = 0""")
 def method_listing(spark, sf_dir):
     file = F.when(F.col("p_size") % 2 == 0, "src/java/A.java").otherwise("lib/A.java")
