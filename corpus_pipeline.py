@@ -54,11 +54,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats, keeps or drops documents so that sources reach their target weights."""
+    """Repeats, keeps or drops documents so that sources reach their target weights.
+
+    Each row is mixed for itself, also where ids are null or repeat: a written key, not
+    the id, says which row the copies are of.
+    """
     weights = mixing.label_weights(table(spark, sf_dir, "labels"))
-    copies = mixing.mix(docs, quality=weights).filter("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    repeated = docs.select(*COLUMNS).join(copies, "doc_id")
-    return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    rows = materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    copies = mixing.mix(rows, quality=weights, carry=("row",)).filter("copies > 0").select("row", "copies")
+    repeated = rows.join(copies, "row")
+    return repeated.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,7 @@ def mix(
     max_epochs: int = 3,
     seed: int = 17,
     buckets: int = 4096,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: ``id_col, size, source_size, target, taken, copies``.
 
@@ -87,13 +88,18 @@ def mix(
     document of a budget is taken if that brings the source nearer to its target.
     Rows with the same id count as separate documents; ties of the key go by id, then
     size.  An empty table gives an empty result; if all sizes are 0, so are targets.
-    Only the named columns are read, so extra or clashing ones do no harm.
+    Only the named columns are read, so extra or clashing ones do no harm.  A null id
+    draws by the text, so that such rows do not all have one key.  ``carry`` names
+    columns that are handed through after the others, such as a row's own key.
     """
+    text = text_or_empty(text_col)
     base = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).isNull().alias("no_source"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("site"),
-        F.coalesce(F.regexp_count(text_or_empty(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.coalesce(F.col(id_col).cast("string"), F.md5(text.cast("binary"))).alias("draw"),
+        *(F.col(c).alias(f"__{c}") for c in carry),
     )
     if quality is not None:
         weight = (
@@ -104,9 +110,9 @@ def mix(
         base = base.join(weight, "id", "left")
     else:
         base = base.withColumn("weight", F.lit(1.0))
-    key = -F.log(uniform("id", seed)) / F.coalesce("weight", F.lit(1.0))
+    key = -F.log(uniform("draw", seed)) / F.coalesce("weight", F.lit(1.0))
     bucket = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int")
-    base = materialize(base.withColumn("key", key).withColumn("bucket", bucket), "mix")
+    base = materialize(base.withColumn("key", key).withColumn("bucket", bucket).drop("draw"), "mix")
 
     spot = ["no_source", "site", "bucket"]
     sums = base.groupBy(*spot).agg(F.sum("size").alias("bucket_size"))
@@ -131,5 +137,6 @@ def mix(
             "target",
             (F.col("size") * F.col("copies")).alias("taken"),
             "copies",
+            *(F.col(f"__{c}").alias(c) for c in carry),
         )
     )
