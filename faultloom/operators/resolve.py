@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 # Core classes known by simple name.
 CORE_CLASSES = {
     "System": "java.lang.System", "Thread": "java.lang.Thread", "Object": "java.lang.Object", "String": "java.lang.String",
@@ -48,13 +50,14 @@ def resolve_types(uses: DataFrame, inner: DataFrame, declared: DataFrame, import
     return out.select(*uses.columns, resolved.alias("resolved"))
 
 
-def resolve_qualifiers(calls: DataFrame, variables: DataFrame, fields: DataFrame, types: DataFrame, returns: DataFrame, longest: int = 5) -> DataFrame:
+def resolve_qualifiers(calls: DataFrame, variables: DataFrame, fields: DataFrame, types: DataFrame, returns: DataFrame) -> DataFrame:
     """``calls`` (``class, scope, qualifier, member``) with ``callee``.
 
     No qualifier, ``this`` and ``super`` mean the class; else the first part is a local
     variable (``variables``: ``scope, name, type``), a field (``fields``: ``class, name,
     type``) or a type (``types``: ``class, name, resolved``), and each further part the
     return type of that method (``returns``: ``owner, name, type``), as far as known.
+    All parts are walked: there are as many rounds as the longest qualifier needs.
     """
     own = F.col("qualifier").isNull() | F.col("qualifier").isin("", "this", "super")
     parts = calls.withColumn("__own", own).withColumn("__parts", F.split(F.coalesce("qualifier", F.lit("")), r"\.")).withColumn("name", F.element_at("__parts", 1))
@@ -64,6 +67,7 @@ def resolve_qualifiers(calls: DataFrame, variables: DataFrame, fields: DataFrame
         .join(types.select("class", "name", F.col("resolved").alias("__t")), ["class", "name"], "left")
         .withColumn("__type", F.when(F.col("__own"), F.col("class")).otherwise(F.coalesce("__v", "__f", "__t")))
     )
+    longest = calls.agg(F.max(F.size(F.split("qualifier", r"\.")))).first()[0] or 0
     for k in range(2, longest + 1):
         step = returns.select(F.col("owner").alias("__type"), F.col("name").alias("__part"), F.col("type").alias("__next"))
         base = (
@@ -71,5 +75,6 @@ def resolve_qualifiers(calls: DataFrame, variables: DataFrame, fields: DataFrame
             .withColumn("__parts", F.when(F.col("__next").isNull(), F.slice("__parts", 1, k - 1)).otherwise(F.col("__parts")))
             .withColumn("__type", F.coalesce("__next", "__type")).drop("__next", "__part")
         )
+        base = cut(base) if k % 8 == 0 else base  # bounds the plan of a very long chain
     callee = F.when(F.col("__type").isNull(), F.concat("class", F.lit(".unknown#"), "member")).otherwise(F.concat_ws("#", "__type", "member"))
     return base.select(*calls.columns, callee.alias("callee"))

@@ -116,6 +116,19 @@ def test_qualifiers(spark):
     }
 
 
+def test_long_qualifiers_are_walked_to_the_end(spark):
+    chain = lambda n: ".".join(["v", *(f"m{i}" for i in range(1, n))])
+    calls = spark.createDataFrame([("p.A", "p.A#m", q, "go") for q in (chain(5), chain(6), chain(7), chain(19), "v.m1.zzz.m2.m3.m4.m5", None)], "class string, scope string, qualifier string, member string")
+    t = lambda rows, shape: spark.createDataFrame(rows, shape)
+    tables = (
+        t([("p.A#m", "v", "p.T0")], "scope string, name string, type string"), t([], "class string, name string, type string"),
+        t([], "class string, name string, resolved string"), t([(f"p.T{i - 1}", f"m{i}", f"p.T{i}") for i in range(1, 30)], "owner string, name string, type string"),
+    )
+    got = {r["qualifier"]: r["callee"] for r in resolve.resolve_qualifiers(calls, *tables).collect()}
+    assert got == {chain(5): "p.T4#go", chain(6): "p.T5#go", chain(7): "p.T6#go", chain(19): "p.T18#go", "v.m1.zzz.m2.m3.m4.m5": "p.T1#go", None: "p.A#go"}
+    assert resolve.resolve_qualifiers(calls.limit(0), *tables).count() == 0
+
+
 def test_camel_case_rewrite_is_equal(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abABC1") for _ in range(rng.randint(1, 9))) for _ in range(500)]
