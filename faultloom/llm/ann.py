@@ -42,11 +42,24 @@ def _lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
 
 
 class PermutationBlock:
-    """The inverted files of one block; rows are ordered by id, so ties go to smaller ids."""
+    """The inverted files of one block, in which each distinct vector is one entry.
+
+    Copies would have the same footrule and fill the rerank's budget, so the budget
+    counts distinct vectors; copies come back when the best are known.  Entries are
+    ordered by their smallest id, and the ids of one ascend, so ties go to smaller ids.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, longest: float, nearest: int) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
+        ids, vectors = ids[order], vectors[order]
+        _, first, entry = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
+        by_id = np.argsort(first)
+        place = np.empty(len(first), np.int64)
+        place[by_id] = np.arange(len(first))
+        entry = place[entry.ravel()]
+        self.vectors = np.ascontiguousarray(vectors[first[by_id]])
+        self.ids = ids[np.argsort(entry, kind="stable")]
+        self.ends = np.bincount(entry, minlength=len(first)).cumsum()
         self.pivots, self.nearest = pivots, min(nearest, len(pivots))
         perms = _permutations(_lifted(self.vectors, longest), pivots, self.nearest)
         posts = np.argsort(perms, axis=None, kind="stable")
@@ -59,19 +72,31 @@ class PermutationBlock:
         walk = _permutations(np.append(query, 0.0)[None], self.pivots, m)[0]
         # The footrule of two prefixes, absent pivots at place m, is a constant less
         # twice the sum of m - max(rank, rank) over the pivots they share.
-        near = np.zeros(len(self.ids), np.int32)
+        near = np.zeros(len(self.vectors), np.int32)
         for rank, pivot in enumerate(walk.tolist()):
             at = slice(self.starts[pivot], self.starts[pivot + 1])
             near[self.rows[at]] += m - np.maximum(self.ranks[at], rank)
-        near[self.ids == query_id] = -1
+        own = np.searchsorted(self.ends, np.flatnonzero(self.ids == query_id), side="right")
+        alone = [e for e in np.unique(own).tolist() if (self.copies(e) == query_id).all()]
+        near[alone] = -1
         want = min(max(least, k, math.ceil(share * len(near))), len(near))
         edge = np.partition(near, len(near) - want)[len(near) - want]
         above = np.flatnonzero(near > edge)
         found = np.sort(np.concatenate([above, np.flatnonzero(near == edge)[: want - len(above)]]))
         found = found[near[found] >= 0]
         scores = np.einsum("ij,j->i", self.vectors[found], query)
-        best = np.argsort(-scores, kind="stable")[:k]
-        return self.ids[found[best]], scores[best]
+        if len(found) > k:
+            best = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            found, scores = found[best], scores[best]
+        copies = [c[c != query_id][:k] for c in map(self.copies, found.tolist())]
+        ids = np.concatenate([self.ids[:0], *copies])
+        scores = np.repeat(scores, [len(c) for c in copies])
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
+
+    def copies(self, entry: int) -> np.ndarray:
+        """The ids of an entry's rows."""
+        return self.ids[self.ends[entry - 1] if entry else 0 : self.ends[entry]]
 
 
 def nearest_neighbours(
