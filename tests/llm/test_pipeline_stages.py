@@ -84,3 +84,76 @@ def test_mixing_takes_rows_of_one_id_apart(spark):
     rows = [(7, "a b c", "en", "s", 5), (7, "d e f g", "en", "s", 7), (8, "h", "en", "t", 1), (None, "i j", "en", "t", 3), (None, None, "en", "t", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     same(rows_of(dict(corpus_pipeline.STAGES)["mixing"](spark, df, SF)), mixed(rows, {7: None, **{r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}}))
+
+
+def test_language_id_keeps_all_but_rejected_rows(spark, docs):
+    kept = rows_of(dict(corpus_pipeline.STAGES)["language_id"](spark, docs, SF))
+    left, all_rows = Counter(map(repr, kept)), rows_of(docs)
+    assert not left - Counter(map(repr, all_rows))
+    assert not any(r[0] in (9200, 9201, 9202) for r in kept)
+    assert len(kept) >= 0.98 * sum(bool(re.search(r"[^\W\d_]", r[1] or "")) for r in all_rows)
+
+
+def test_line_dedup_against_brute_force(spark, docs):
+    rows = rows_of(docs)
+    pages, on = Counter(r[3] for r in rows), Counter()
+    trim = lambda x: x.strip(" \t\r\f\x0b")
+    for r in rows:
+        on.update({(r[3], trim(x)) for x in (r[1] or "").split("\n")})
+    often = {k for k, n in on.items() if k[1] and n >= 5 and n > 0.08 * pages[k[0]]}
+    assert ("menus", "the same menu line") in often
+    want = []
+    for i, t, lang, source, _ in rows:
+        t = t if t is None else "\n".join(x for x in t.split("\n") if (source, trim(x)) not in often)
+        want.append((i, t, lang, source, None if t is None else len(t)))
+    same(rows_of(dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF)), want)
+
+
+def test_near_dedup_against_brute_force(spark, docs):
+    def bag(text):
+        w = (text or "").translate({i: i + 32 for i in range(65, 91)}).encode().split()
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+    rows = [r for r in rows_of(docs) if r[0] is not None]
+    bags, root = {r[0]: bag(r[1]) for r in rows}, {r[0]: r[0] for r in rows}
+    for i in bags:
+        for j in bags:
+            if j < i:
+                both = sum((bags[i] & bags[j]).values())
+                if both and both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= 0.8:
+                    a, b = root[i], root[j]
+                    root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    got = rows_of(dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF))
+    assert sum(root[i] != i for i in root) >= 4
+    same(got, [r for r in rows_of(docs) if r[0] is None or root[r[0]] == r[0]])
+
+
+def test_mixing_against_brute_force(spark, docs):
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    same(rows_of(dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SF)), mixed(rows_of(docs), quality))
+
+
+def test_packing_against_brute_force(spark, docs):
+    encode, want = packing.encoder(default_tokenizer()).tokenizer.encode, []
+    for r in rows_of(docs):
+        ids, at = np.array([*encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4"), 0
+        while at < len(ids):
+            n = 4096 if len(ids) - at >= 4096 else min(1024, len(ids) - at)
+            want.append((r[0], at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids)))
+            at += n
+    got = dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF).collect()
+    same([(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got], want)
+    windows = defaultdict(list)
+    for r in got:
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in windows.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)]).tolist()
+        assert [at for at, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
+def test_run_is_its_stages(spark):
+    one = rows = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        one = stage(spark, one, SF)
+    key = lambda df: Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in df.collect())
+    assert rows.count() and key(one) == key(corpus_pipeline.run(spark, SF))
