@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logs, names, text
-from ..operators import coverage, evaluate, graph, matching, resolve, scoring, vsm
+from ..operators import coverage, evaluate, graph, matching, reports, resolve, scoring, vsm
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -537,8 +537,15 @@ def page_links(spark, sf_dir):
 
 @_query("SELECT count(DISTINCT conv_id) AS documents, count(*) FILTER (role = 'user') AS logs, count(*) FILTER (role = 'assistant') AS traces FROM conversations")
 def structured_report_totals(spark, sf_dir):
-    per = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.when(F.col("role") == "user", 1)).alias("logs"), F.count(F.when(F.col("role") == "assistant", 1)).alias("traces"))
-    return per.agg(F.count(F.lit(1)).alias("documents"), F.sum("logs").alias("logs"), F.sum("traces").alias("traces"))
+    """A conversation is a document: a user's turn is a log line, an assistant's a frame.
+
+    Texts are on one line, as a frame is; turns of other roles are plain paragraphs.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\R", " ")
+    para = F.when(F.col("role") == "user", F.concat(F.lit("INFO conv.Turn: "), text)).when(F.col("role") == "assistant", F.concat(F.lit("at conv.Turn("), text, F.lit(")"))).otherwise(text)
+    turns = F.array_sort(F.collect_list(F.struct("turn", para.alias("para"))))
+    docs = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("file")).agg(turns.alias("x")).select("file", F.transform("x", lambda x: x["para"]).alias("paras"))
+    return reports.totals(reports.structured_reports(docs))
 
 
 @_query("SELECT event_type AS title, user_id, 'cached' AS origin FROM events WHERE event_type IN ('click', 'view') AND value > 90 UNION ALL SELECT event_type, user_id, 'parsed' FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_type IN ('click', 'view') AND value > 90)")
