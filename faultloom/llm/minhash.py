@@ -11,15 +11,14 @@ all registers should have a point, and goes on only if one has none.
 Texts that agree in a band of registers are candidates; a link is a pair whose exact
 multiset overlap reaches the threshold, and classes are connected components of links.
 
-Scale.  Copies (equal word sequences) are one node.  Shingles that no other candidate
-has bound a pair's overlap from above; pairs that cannot reach the threshold by this
-bound are never made.  In a bucket every member is first
-compared with one member, the one with the most companions over all bands, so a hot
-bucket costs its size, not its square.  In a few turns members are then compared with
-some drawn from the bucket, if their components differ still.  What is left, texts of
-buckets that hold several components, is settled exactly by an index of their rarest
-shingles: any link between different components that is left shares one of them.  Components are found by alternating large
-and small stars on tables; nothing that grows with the input comes to the driver.
+Scale.  Copies (equal word sequences) are one node.  In a bucket every member is first
+compared with one member, its hub: the one with the most companions over all bands, so
+that a cluster has the same hub in most of its buckets.  A hot bucket costs its size,
+not its square.  Those that are linked to no hub are then compared with a few drawn
+members, which joins clusters without their hub.  What is left, texts with a hub in
+common but in different components, is settled exactly by what each differs from the
+hub in (``_open_pairs``).  Components are found by alternating large and small stars on
+tables; nothing that grows with the input comes to the driver.
 """
 
 from __future__ import annotations
@@ -38,10 +37,8 @@ BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
 #: A register is empty at the stopping time with probability exp(-SURE) / registers.
 SURE = 6.0
-#: Members drawn from a bucket that every other member is compared with, and how often.
-SAMPLES, SAMPLE_TURNS = 6, 1
-#: The two ids of a pair, as the expressions that ``select`` takes.
-_PAIR = ("least(x.id, y.id) AS a", "greatest(x.id, y.id) AS b")
+#: Members drawn from a bucket that those its hub did not link are compared with.
+DRAWS = 2
 
 _U = np.uint64
 
@@ -164,29 +161,6 @@ def overlap(a: bytes, b: bytes) -> float:
     return common / (len(both) - common) if len(both) else 0.0
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The units of bags, one row each."""
-    for batch in batches:
-        bags = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-        ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(b) for b in bags])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(bags) if bags else np.zeros(0, np.int64))], ["id", "unit"])
-
-
-def shareable(bags: DataFrame) -> DataFrame:
-    """``id, size, shared``: units of each bag, and those that another bag has too."""
-    units = bags.mapInArrow(_units, "id long, unit long")
-    alone = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id")).filter("n = 1")
-    own = alone.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    size = (F.octet_length("bag") / 8).cast("long")
-    return bags.select("id", size.alias("size")).join(own, "id", "left").select("id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
-
-
-def _can_link(x: str, y: str, threshold: float):
-    """Whether two bags share enough at best: a link needs threshold/(1+threshold) of both sizes."""
-    best = F.least(f"{x}.shared", f"{y}.shared", f"{x}.size", f"{y}.size")
-    return best * (1 + threshold) + 1e-6 >= (F.col(f"{x}.size") + F.col(f"{y}.size")) * threshold
-
-
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``a, b`` whose bags overlap enough, with ``similarity``."""
 
@@ -222,114 +196,136 @@ def components(edges: DataFrame) -> DataFrame:
         stars = materialize(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "stars")
 
 
-def _mixed_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with ``root`` of buckets that hold several components, and their ``main``."""
-    roots = components(links)
-    rooted = members.join(roots, "id", "left").select("id", "x", "band", "bucket", F.coalesce("root", "id").alias("root"))
+def _alike(x: str, y: str, threshold: float):
+    """Whether two texts are near enough in size for a link."""
+    return F.least(x, y) + 1e-6 >= F.greatest(x, y) * threshold
+
+
+def _drawn_pairs(members: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members that their hubs did not link with some drawn from their bucket.
+
+    In a bucket of several components the largest is left aside, ``DRAWS`` of the other
+    members are drawn, and each of the others is paired with these.
+    """
+    rooted = members.join(components(links), "id", "left").select("id", "size", "band", "bucket", F.coalesce("root", "id").alias("root"))
     sides = rooted.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = sides.groupBy("band", "bucket").agg(F.max(F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    return materialize(rooted.join(main.select("band", "bucket", F.col("main.root").alias("main")), ["band", "bucket"]), "mixed")
+    main = sides.groupBy("band", "bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    minor = materialize(rooted.join(main.filter("roots > 2"), ["band", "bucket"]).filter("root <> main").select(*rooted.columns), "minor")
+    draws = (F.min(F.struct(F.xxhash64("id", F.lit(j)), "id", "size", "root")) for j in range(DRAWS))
+    drawn = minor.groupBy("band", "bucket").agg(F.array_distinct(F.array(*draws)).alias("drawn"))
+    both = minor.join(drawn.select("band", "bucket", F.explode("drawn").alias("y")), ["band", "bucket"])
+    apart = (F.col("root") != F.col("y.root")) & _alike("size", "y.size", threshold)
+    return both.filter(apart).select(F.least("id", "y.id").alias("a"), F.greatest("id", "y.id").alias("b")).distinct()
 
 
-def _rare_pairs(texts: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a, b`` of ``texts`` (``id, size, root``) in different components that may be linked.
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The units that a text has and its hub has not, or the other way round, one row each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            units = [
+                np.setxor1d(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U), assume_unique=True).view(np.int64)
+                for x, y in zip(part.column(4), part.column(5), strict=True)
+            ]
+            d = np.array([len(u) for u in units])
+            index = pa.array(np.repeat(np.arange(len(d)), d))
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(i).take(index) for i in range(4)), pa.array(np.repeat(d, d)), pa.array(np.concatenate(units))],
+                ["hub", "id", "size", "root", "d", "unit"],
+            )
 
-    Of two linked bags the larger has so many units of the smaller that it has one of
-    any ``size - needed + 1`` of them: of its rarest, which few others have.  So units
-    are ordered by how many bags have them, and each bag's rarest are looked up.
+
+def _open_pairs(stars: DataFrame, links: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``a, b`` of texts with a hub in common, in different components, that may be linked.
+
+    Let D(x) be the units by which x differs from the hub.  x and y differ by the units
+    in one of D(x) and D(y) only, and are linked if these are at most s = (1-t)/(1+t) of
+    both sizes; so D(x) and D(y) have c = (|D(x)| + |D(y)| - s) / 2 units in common.
+    Two texts in different components are not both as near to the hub as to need none
+    (c > 0).  With the units in one order, rarest first, their first common unit is so
+    early that c of them can follow it.  In a group of near copies most differences are
+    a text's own, and of texts with many differences nearly all would have to be
+    common, so few pairs are made, and the common part of the group plays no role.
     """
-    texts = materialize(texts, "open")
-    units = materialize(bags.join(texts.select("id"), "id", "left_semi").mapInArrow(_units, "id long, unit long").join(texts, "id"), "units")
-    spread = units.groupBy("unit").agg(F.count(F.lit(1)).alias("bags")).filter("bags > 1")
-    known = units.join(spread, "unit")
-    # Units of one bag alone come first in the order; they are counted, not looked up.
-    alone = F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("id"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("bags", "unit")) + alone
-    needed = F.ceil(F.col("size") * (2 * threshold / (1 + threshold)) - 1e-6)
-    rare = known.withColumn("place", place).filter(F.col("place") <= F.col("size") - needed + 1).select("unit", "id", "size", "root")
-    other = units.select("unit", F.col("id").alias("y"), F.col("size").alias("y_size"), F.col("root").alias("y_root"))
-    fits = (F.col("root") != F.col("y_root")) & (F.col("size") <= F.col("y_size")) & (F.col("size") + 1e-6 >= F.col("y_size") * threshold)
-    pairs = rare.join(other, "unit").filter(fits)
-    return pairs.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+    s = (1 - threshold) / (1 + threshold)
+    rooted = stars.join(components(links), "id", "left").select("hub", "id", "size", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("hub")
+    rooted = materialize(rooted.join(mixed, "hub"), "open")
+    both = rooted.join(bags.select("id", F.col("bag").alias("x")), "id").join(bags.select(F.col("id").alias("hub"), F.col("bag").alias("y")), "hub")
+    units = both.select("hub", "id", "size", "root", "x", "y").mapInArrow(_differences, "hub long, id long, size long, root long, d long, unit long")
+    units = materialize(units, "units")
+    # Units of one component alone join nothing: they come first, and are only counted.
+    spread = units.groupBy("hub", "unit").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    known = units.join(spread.select("hub", "unit", "n"), ["hub", "unit"])
+    own = Window.partitionBy("hub", "id")
+    place = F.row_number().over(own.orderBy("n", "unit")) + F.col("d") - F.count(F.lit(1)).over(own)
+    early = known.withColumn("place", place).filter(F.col("place") <= F.col("size") * ((1 - threshold) / threshold) + 1 + 1e-6)
+    early = materialize(early.select("hub", "unit", "id", "size", "root", "d", (F.col("d") - F.col("place") + 1).alias("left")), "early")
+    other = early.select("hub", "unit", *(F.col(c).alias(f"y_{c}") for c in ("id", "size", "root", "d", "left")))
+    common = (F.col("d") + F.col("y_d") - (F.col("size") + F.col("y_size")) * s) / 2
+    fits = (F.col("id") < F.col("y_id")) & (F.col("root") != F.col("y_root")) & _alike("size", "y_size", threshold)
+    pairs = early.join(other, ["hub", "unit"]).filter(fits & (F.least("left", "y_left") + 1e-6 >= common))
+    return pairs.select(F.col("id").alias("a"), F.col("y_id").alias("b")).distinct()
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per document: ``id_col, class_id, class_size, n_links, kept``.
+    """One row per document: ``id_col, class_id, class_size, kept``.
 
     ``class_id`` is the smallest id of the document's class and ``kept`` marks that
     document.  Two texts are linked if the weighted Jaccard similarity of their
-    multisets of five-word shingles is at least ``threshold``; ``n_links`` counts the
-    verified links of the document's text to different texts, at least one for each
-    text that is not alone.  Equal word sequences are one class.  Texts without a word,
-    null or empty, are alone.  Rows that repeat an id belong to one class.  Rows with a
-    null id have a null class and are kept.  An empty table gives an empty result;
-    other columns are ignored.
+    multisets of five-word shingles is at least ``threshold``, and they agree in a band;
+    classes are the connected components of all links.  Equal word sequences are one
+    class.  Texts without a word, null or empty, are alone.  Rows that repeat an id
+    belong to one class.  Rows with a null id have a null class and are kept.  An empty
+    table gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(
         texts.mapInArrow(_signed(bands, rows), "id long, h1 long, h2 long, n_words long, bands array<long>"), "signatures"
     )
     some = signed.filter("n_words > 0 AND id IS NOT NULL")
+    size = F.greatest(F.col("n_words") - (S.WORDS - 1), F.lit(1)).alias("size")
     nodes = materialize(
-        some.groupBy("h1", "h2").agg(F.min(F.struct("id", "bands")).alias("one"), F.count(F.lit(1)).alias("copies"))
-        .select("h1", "h2", "one.id", "one.bands", "copies"),
+        some.groupBy("h1", "h2").agg(F.min(F.struct("id", "n_words", "bands")).alias("one"))
+        .select("h1", "h2", "one.*").select("h1", "h2", "id", size, "bands"),
         "nodes",
     )
-    placed = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    placed = nodes.select("id", "size", F.posexplode("bands").alias("band", "bucket"))
     crowds = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(placed.join(crowds, ["band", "bucket"]), "members")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    members = materialize(members.join(degree, "id"), "members")
-    needed = nodes.join(degree.select("id"), "id").select("id", "h1", "h2")
+    needed = materialize(nodes.join(degree, "id").select("id", "h1", "h2", "degree"), "needed")
     bags = materialize(
         texts.join(needed.select("id").distinct(), "id", "left_semi").mapInArrow(_bagged, "id long, h1 long, h2 long, bag binary")
-        .join(needed, ["id", "h1", "h2"], "left_semi").select("id", "bag"),
+        .join(needed, ["id", "h1", "h2"], "left_semi").select("id", "bag").dropDuplicates(["id"]),
         "bags",
     )
-    # A text most of whose units no other candidate has cannot be linked at all.
-    parts = shareable(bags).filter(F.col("shared") + 1e-6 >= F.col("size") * threshold)
-    members = materialize(
-        members.join(parts, "id").select("band", "bucket", "degree", F.struct("id", "size", "shared").alias("x"), "id"), "members"
-    )
-    hubs = members.groupBy("band", "bucket").agg(F.max_by("x", F.struct("degree", -F.col("id"))).alias("y"))
-    first = members.join(hubs, ["band", "bucket"]).filter((F.col("x.id") != F.col("y.id")) & _can_link("x", "y", threshold))
-    first = materialize(first.selectExpr(*_PAIR).distinct(), "pairs")
-    tried, links = first, materialize(verified(first, bags, threshold), "links")
-    for turn in range(SAMPLE_TURNS):
-        mixed = _mixed_buckets(members, links)
-        # a few members of each bucket, others each turn; a group of n costs n per sample
-        draws = (F.min(F.struct(F.xxhash64("id", F.lit(turn * SAMPLES + j)), "x", F.col("root").alias("y_root"))) for j in range(SAMPLES))
-        drawn = mixed.groupBy("band", "bucket").agg(F.array(*draws).alias("drawn")).select("band", "bucket", F.explode("drawn").alias("s"))
-        drawn = drawn.select("band", "bucket", F.col("s.x").alias("y"), "s.y_root")
-        pairs = (
-            mixed.join(drawn, ["band", "bucket"]).filter((F.col("root") != F.col("y_root")) & _can_link("x", "y", threshold))
-            .selectExpr(*_PAIR).distinct().join(tried, ["a", "b"], "left_anti")
-        )
-        pairs = materialize(pairs, "pairs")
-        found = materialize(verified(pairs, bags, threshold), "links")
-        tried, links = tried.union(pairs), links.union(found)
-    mixed = _mixed_buckets(members, links)
-    rest = _rare_pairs(mixed.select("x.id", "x.size", "root").distinct(), bags, threshold).join(tried, ["a", "b"], "left_anti")
-    links = links.union(materialize(verified(materialize(rest, "pairs"), bags, threshold), "links"))
+    central = F.max_by(F.struct("id", "size"), F.struct("degree", -F.col("id"))).alias("y")
+    hubs = members.join(needed.select("id", "degree"), "id").groupBy("band", "bucket").agg(central)
+    stars = members.join(hubs, ["band", "bucket"]).filter(F.col("id") != F.col("y.id"))
+    stars = materialize(stars.select(F.col("y.id").alias("hub"), F.col("y.size").alias("hub_size"), "id", "size").distinct(), "stars")
+    first = stars.filter(_alike("size", "hub_size", threshold)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    links = materialize(verified(first, bags, threshold), "links")
+    drawn = materialize(_drawn_pairs(members, links, threshold), "pairs")
+    links = links.union(materialize(verified(drawn, bags, threshold), "links"))
+    rest = materialize(_open_pairs(stars, links, bags, threshold), "pairs")
+    links = links.union(materialize(verified(rest, bags, threshold), "links"))
     # Rows that repeat an id with another text tie that text's node to the id's class.
     again = some.join(nodes.select("h1", "h2", F.col("id").alias("node")), ["h1", "h2"])
     ties = again.filter("id <> node").join(nodes.select(F.col("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))
     roots = materialize(components(links.select("a", "b").union(ties)), "roots")
-    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    counted = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-
     belongs = (
         nodes.select("h1", "h2", F.col("id").alias("node"))
         .join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
-        .join(counted, "node", "left")
-        .select("h1", "h2", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("h1", "h2", F.coalesce("root", "node").alias("root"))
     )
+    has_words = F.col("has_words") & F.col("id").isNotNull()
     placed_rows = materialize(
         signed.select("id", "h1", "h2", (F.col("n_words") > 0).alias("has_words"))
         .join(materialize(belongs, "belongs"), ["h1", "h2"], "left")
-        .select("id", F.when(F.col("has_words") & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        .select("id", F.when(has_words, F.col("root")).otherwise(F.col("id")).alias("class_id")),
         "classes",
     )
     sizes = materialize(placed_rows.filter("class_id IS NOT NULL").groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1"), "sizes")
@@ -337,6 +333,5 @@ def near_duplicates(
         F.col("id").alias(id_col),
         "class_id",
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        F.col("n_links").cast("long").alias("n_links"),
         F.col("id").eqNullSafe(F.col("class_id")).alias("kept"),
     )
