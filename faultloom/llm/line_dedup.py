@@ -7,8 +7,9 @@ are divided by the host's page total.
 Scale.  Lines travel as 128-bit hashes, counted with map-side combine, so a hot host
 or a very common line is a few rows a task.  A page with n lines adds n to the counts
 of its host, so a host has at most ``mean lines a page / ratio`` boilerplate lines:
-they fit in one array per host, which pages get by a join on the host, and each page
-is filtered where it lies.  Neither pages nor lines are collected per host.
+these alone are gathered, after the ratio is applied, in one small hash table per host,
+which pages get by a join on the host.  Each page is filtered where it lies.  Neither
+pages nor lines are collected per host.
 """
 
 from __future__ import annotations
@@ -54,6 +55,31 @@ def _hash(line: Column) -> Column:
     return F.struct(a.alias("a"), b.alias("b"))
 
 
+def _slot(hashed: Column, slots: Column) -> Column:
+    return F.pmod(hashed["a"], slots.cast("long")).cast("int")
+
+
+def _table(hashes: Column) -> Column:
+    """Hashes as an array of slots of about eight each, by their first half."""
+    slots = F.ceil(F.size(hashes) / 8).cast("int")
+    return F.transform(F.sequence(F.lit(0), slots - 1), lambda i: F.filter(hashes, lambda x: _slot(x, slots) == i))
+
+
+def _listed(table: Column, hashed: Column) -> Column:
+    """Whether a hash is in such a table; only its slot is looked through."""
+    return F.array_contains(F.element_at(table, _slot(hashed, F.size(table)) + 1), hashed)
+
+
+def drop_page_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+    """``drop_site_lines`` on the visible text of HTML pages: ``id_col, host, text`` and the counts.
+
+    The text is made once and written, as lines are read twice.  Null pages are empty,
+    null or malformed addresses are of the host ``''``; other columns are not read.
+    """
+    texts = pages.select(F.col(id_col), url_host(F.col(url_col)).alias("host"), html_text(F.col(html_col)).alias("text"))
+    return drop_site_lines(materialize(texts, "texts"), "text", "host", **options)
+
+
 def drop_site_lines(
     pages: DataFrame, text_col: str, host_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES
 ) -> DataFrame:
@@ -76,29 +102,19 @@ def drop_site_lines(
     # One pass: a null hash stands for the page itself, so totals come with the counts.
     marks = F.concat(F.coalesce("hashes", F.array().cast("array<struct<a:long,b:long>>")), F.array(F.lit(None).cast("struct<a:long,b:long>")))
     counts = own.select("site", F.explode(marks).alias("hash")).groupBy("site", "hash").agg(F.count(F.lit(1)).alias("n"))
-    per_site = (
-        counts.filter((F.col("n") >= least_pages) | F.col("hash").isNull())
-        .groupBy("site")
-        .agg(
-            F.max(F.when(F.col("hash").isNull(), F.col("n"))).alias("site_pages"),
-            F.collect_list(F.when(F.col("hash").isNotNull(), F.struct("hash", "n"))).alias("often"),
-        )
-        .select(
-            "site",
-            "site_pages",
-            F.transform(
-                F.filter("often", lambda x: x["n"] > F.lit(ratio) * F.col("site_pages")), lambda x: x["hash"]
-            ).alias("boilerplate"),
-        )
-    )
+    counts = materialize(counts.filter((F.col("n") >= least_pages) | F.col("hash").isNull()), "lines")
+    sites = counts.filter(F.col("hash").isNull()).select("site", F.col("n").alias("site_pages"))
+    # Only what passes the ratio is gathered: at most mean lines a page / ratio, whatever the site's size.
+    frequent = counts.filter(F.col("hash").isNotNull()).join(sites, "site").filter(F.col("n") > F.lit(ratio) * F.col("site_pages"))
+    frequent = frequent.groupBy("site").agg(F.collect_list("hash").alias("hashes")).select("site", _table(F.col("hashes")).alias("boilerplate"))
     # Written out, so that the join may split a hot host's pages over tasks.
-    per_site = materialize(per_site, "sites").select(*(F.col(c).alias(f"__{c}") for c in per_site.columns))
+    per_site = materialize(sites.join(frequent, "site", "left"), "sites").select(*(F.col(c).alias(f"__{c}") for c in ("site", "site_pages", "boilerplate")))
     split, boilerplate = F.col("__lines"), F.col("__boilerplate")
-    stays = F.filter(split, lambda x: (trimmed(x) == "") | ~F.array_contains(boilerplate, _hash(trimmed(x))))
+    stays = F.filter(split, lambda x: (trimmed(x) == "") | ~_listed(boilerplate, _hash(trimmed(x))))
     out = (
         pages.select(*kept, site.alias("__site"), lines.alias("__lines"))
         .join(per_site, "__site")
-        .withColumn("__kept", F.when(F.size(boilerplate) > 0, stays).otherwise(split))
+        .withColumn("__kept", F.when(boilerplate.isNotNull(), stays).otherwise(split))
     )
     return out.select(
         *(F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in kept),

@@ -14,10 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id", line_dedup.url_host(F.col("url")).alias("host"), line_dedup.html_text(F.col("html")).alias("text")
-    )
-    return line_dedup.drop_site_lines(pages, "text", "host")
+    return line_dedup.drop_page_lines(table(spark, sf_dir, "pages"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
