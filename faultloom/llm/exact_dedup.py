@@ -1,22 +1,29 @@
 """Exact deduplication by a distributed content sort.
 
-Normalised texts are range-partitioned by sampled splitters, sorted externally
-inside each partition, and equal neighbours are merged after a comparison of
-their full bytes.
-
-Scale.  Splitters are taken from a bounded key (the first and last characters
-and the length), so the sample never carries whole texts to the driver.  Each
-text is shuffled once.  Keys that hold more than their share of rows are found
-by a map-side-combined count and get a salt, so no partition has to take a hot
-group; the parts of a salted group meet again as one small row per part.
+Normalised texts are range-partitioned by sampled splitters, sorted externally inside
+each partition, and compared in full with their neighbours; of equal neighbours the
+first in the order of ids stays.
+
+Scale.  Splitters are sampled from a bounded key (first and last characters, length, two
+hashes and the id), so the sample never carries whole texts to the driver.  Each text
+is shuffled once.  The id is the last part of the key, so the copies of a hot text
+spread over as many partitions as their share of the rows asks for (unless they have one
+id, or none, in common); such a run of equal texts is cut at partition edges only.  A partition has one first and one last run, so
+the cut runs are put together from at most two small rows a partition, which is a proven
+bound for their broadcast.  A task keeps one text and the ids of one run, 8 bytes each.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, text_or_empty
+from .common import digest128, materialize, text_or_empty
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -28,52 +35,63 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", edge_chars: int = 64
-) -> DataFrame:
-    """Groups of two or more equal texts: ``digest, keep_id, group_size``."""
-    if keep not in ("min", "max"):
-        raise ValueError("keep is 'min' or 'max'")
+def sorted_texts(docs: DataFrame, id_col: str, text_col: str, keep: str, edge_chars: int) -> DataFrame:
+    """``id, content``: rows range-partitioned and sorted so that equal texts are neighbours.
+
+    Inside a run of equal texts ids descend (``keep="min"``: ascend), null last.
+    """
     text = text_or_empty(text_col)
+    content = ascii_lower(text)
     rows = docs.select(
         F.col(id_col).alias("id"),
-        text.alias("raw"),
         ascii_lower(F.left(text, F.lit(edge_chars))).alias("head"),
         F.length(text).alias("chars"),
         ascii_lower(F.right(text, F.lit(edge_chars))).alias("tail"),
+        content.cast("binary").alias("content"),
     )
-    keys = ["head", "chars", "tail"]
-    # A key is hot if it has over 1/(4 x partitions) of all rows.  There are at
-    # most 4 x partitions such keys, whatever the input: small enough to broadcast.
-    share = max(64.0, docs.count() / (4.0 * shuffle_partitions(docs.sparkSession)))
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > share)
-        .withColumn("salts", F.ceil(F.col("n") / share))
-        .drop("n")
-    )
-    salted = rows.join(F.broadcast(hot), keys, "left").select(
-        "id",
-        *keys,
-        F.coalesce("salts", F.lit(1)).alias("salts"),
-        F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).alias("salt"),
-        ascii_lower(F.col("raw")).alias("content"),
-    )
-    sort_keys = [*keys, "salt"]
-    best = F.max if keep == "max" else F.min
-    merged = (
-        salted.repartitionByRange(*sort_keys)
-        .sortWithinPartitions(*sort_keys, "content")
-        .groupBy(*sort_keys, "salts", "content")
-        .agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .filter((F.col("group_size") > 1) | (F.col("salts") > 1))
-    )
-    return (
-        merged.groupBy(F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
-        .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        .filter(F.col("group_size") > 1)
-    )
+    first, second = digest128(F.col("content"))
+    rows = rows.withColumns({"h1": first, "h2": second})
+    best_first = F.col("id").desc_nulls_last() if keep == "max" else F.col("id").asc_nulls_last()
+    keys = ["head", "chars", "tail", "h1", "h2"]
+    return rows.repartitionByRange(*keys, "id").sortWithinPartitions(*keys, "content", best_first).select("id", "content")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their run's best id, size, digest and number, and whether it touches the partition's edge."""
+    names = ["row_id", "keep_id", "group_size", "text_sha256", "part", "edge"]
+    part = TaskContext.get().partitionId()
+    content, lots, first = None, [], True
+
+    def run(edge: bool) -> pa.RecordBatch:
+        ids = pa.concat_arrays(lots)
+        n = len(ids)
+        same = lambda value, kind: pa.repeat(pa.scalar(value, kind), n)
+        digest = hashlib.sha256(content).hexdigest()
+        best = pa.repeat(ids[0], n)
+        return pa.RecordBatch.from_arrays(
+            [ids, best, same(n, pa.int64()), same(digest, pa.string()), same(part, pa.int32()), same(edge, pa.bool_())], names
+        )
+
+    def merged(done: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        ids, texts, done, start = batch.column(0), batch.column(1), [], 0
+        for i, text in enumerate(texts):
+            text = text.as_py()
+            if text != content:
+                if content is not None:
+                    if i > start:
+                        lots.append(ids.slice(start, i - start))
+                    done.append(run(first))
+                    first = False
+                content, lots, start = text, [], i
+        if batch.num_rows > start:  # copied, since a slice would keep the batch and its texts
+            lots.append(ids.slice(start).take(pa.array(range(batch.num_rows - start))))
+        if done:
+            yield merged(done)
+    if content is not None:
+        yield run(True)
 
 
 def exact_dedup(
@@ -89,17 +107,21 @@ def exact_dedup(
     row is kept.  An empty table gives an empty result, and further columns of the
     input, whatever their names, are ignored.
     """
-    # Written out, so that the join below may split a hot digest's rows over tasks.
-    groups = materialize(exact_groups(docs, id_col, text_col, keep, edge_chars), "equal-texts")
-    rows = docs.select(
-        F.col(id_col).alias("row_id"),
-        F.sha2(ascii_lower(text_or_empty(text_col)).cast("binary"), 256).alias("digest"),
-    )
-    keep_id = F.when(F.col("group_size").isNull(), F.col("row_id")).otherwise(F.col("keep_id"))
-    return rows.join(groups, "digest", "left").select(
+    if keep not in ("min", "max"):
+        raise ValueError("keep is 'min' or 'max'")
+    kind = docs.schema[id_col].dataType.simpleString()
+    shape = f"row_id {kind}, keep_id {kind}, group_size long, text_sha256 string, part int, edge boolean"
+    rows = materialize(sorted_texts(docs, id_col, text_col, keep, edge_chars).mapInArrow(_runs, shape), "runs")
+    best = F.max if keep == "max" else F.min
+    # One row for each run at an edge, then one for each text that has such runs.
+    cut = rows.filter("edge").groupBy("text_sha256", "part").agg(best("keep_id").alias("keep_id"), F.max("group_size").alias("size"))
+    cut = cut.groupBy("text_sha256").agg(best("keep_id").alias("whole_id"), F.sum("size").alias("whole_size"))
+    out = rows.join(F.broadcast(cut.withColumn("edge", F.lit(True))), ["text_sha256", "edge"], "left")
+    keep_id = F.when(F.col("edge"), F.col("whole_id")).otherwise(F.col("keep_id"))
+    return out.select(
         F.col("row_id").alias(id_col),
         keep_id.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.when(F.col("edge"), F.col("whole_size")).otherwise(F.col("group_size")).cast("long").alias("group_size"),
         F.col("row_id").eqNullSafe(keep_id).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        "text_sha256",
     )
