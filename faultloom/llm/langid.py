@@ -6,8 +6,8 @@ whose codeword has the least loss, each bit weighted by how well its classifier
 in training; if a second codeword is about as near, the row is flagged ambiguous.
 
 Scale.  Training looks at a bounded number of labelled rows (``LanguageModel.fit``:
-``rows_per_language`` and ``most_rows``); their n-gram counts are made on the
-executors.  Prediction is one row-local pass over the texts without a shuffle, in
+``rows_per_language`` and ``most_rows``); their n-gram counts are made on the executors,
+and one task learns from them, so the driver sees the finished weights only.  Prediction is one row-local pass over the texts without a shuffle, in
 slices of bounded memory.
 """
 
@@ -18,8 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 11
@@ -115,21 +116,41 @@ class LanguageModel:
 
         def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                made = [profile(t, bits).astype("<f4").tobytes() for t in batch.column(1).to_pylist()]
+                made = [profile(t, bits).astype("<f2").tobytes() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], ["lang", "h", "x"])
 
-        sample = picked.mapInArrow(profiles, "lang string, h long, x binary").orderBy("h", "lang").limit(2 * most_rows).collect()
-        x = np.frombuffer(b"".join(r["x"] for r in sample), "<f4").reshape(len(sample), 1 << bits).astype(np.float64)
         names = [lang for lang, _ in found]
-        place = np.array([names.index(r["lang"]) for r in sample], dtype=int)
         code = codewords(len(names))
-        # ridge regression of each bit, the languages weighing alike
-        per = np.bincount(place, minlength=len(names)).clip(1)
-        w = 1.0 / per[place] / len(names)
-        xw = x * w[:, None]
-        weights = np.linalg.solve(x.T @ xw + RIDGE * np.eye(1 << bits), xw.T @ code[place].astype(float)) if len(sample) else np.zeros((1 << bits, code.shape[1]))
-        right = ((x @ weights) * code[place] > 0) * w[:, None]
-        return LanguageModel(names, code, weights, right.sum(axis=0).clip(0.05), bits)
+
+        def learn(sample: pd.DataFrame) -> pd.DataFrame:
+            """Ridge regression of each bit, the languages weighing alike."""
+            sample = sample.sort_values(["h", "lang"], kind="stable")
+            place = np.array([names.index(x) for x in sample["lang"]], dtype=int)
+            x = np.frombuffer(b"".join(sample["x"]), "<f2").reshape(len(place), 1 << bits)
+            w = 1.0 / np.bincount(place, minlength=len(names)).clip(1)[place] / len(names)
+            gram, aim = RIDGE * np.eye(1 << bits), np.zeros((1 << bits, code.shape[1]))
+            for at in range(0, len(place), 1024):
+                part = x[at : at + 1024].astype(np.float64)
+                weighed = part * w[at : at + 1024, None]
+                gram += part.T @ weighed
+                aim += weighed.T @ code[place[at : at + 1024]]
+            weights = np.linalg.solve(gram, aim)
+            right = np.zeros(code.shape[1])
+            for at in range(0, len(place), 1024):
+                lot = slice(at, at + 1024)
+                right += (((x[lot].astype(np.float64) @ weights) * code[place[lot]] > 0) * w[lot, None]).sum(axis=0)
+            return pd.DataFrame({"weights": [weights.tobytes()], "bit_weights": [right.clip(0.05).tobytes()]})
+
+        # Twice the rows aimed at are a bound even if ids repeat, so one task can learn from
+        # them; only the weights leave it.
+        sample = picked.mapInArrow(profiles, "lang string, h long, x binary")
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+        sample = sample.withColumn("nth", nth).filter(F.col("nth") <= 2 * cap).withColumn("all", F.lit(0))
+        learned = sample.groupBy("all").applyInPandas(learn, "weights binary, bit_weights binary").collect()
+        if not learned:
+            return LanguageModel(names, code, np.zeros((1 << bits, code.shape[1])), np.full(code.shape[1], 0.05), bits)
+        weights = np.frombuffer(learned[0]["weights"]).reshape(1 << bits, -1)
+        return LanguageModel(names, code, weights, np.frombuffer(learned[0]["bit_weights"]), bits)
 
     def scores(self, text: str) -> np.ndarray:
         """A score for each language; they sum to 1."""
