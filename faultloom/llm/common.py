@@ -42,6 +42,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """One row for each value of ``column``, bucketed and sorted by it: joins on it do not shuffle the table."""
+    spark, kind = df.sparkSession, f"faultloom_{name}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{kind}"
+    count = shuffle_partitions(spark)
+    df.repartition(count, column).dropDuplicates([column]).write.bucketBy(count, column).sortBy(column).option("path", path).format("parquet").saveAsTable(kind)
+    _written.append(path)
+    found = spark.table(kind)
+    found.schema  # resolved: what follows takes the name from the catalog, not the files
+    spark.sql(f"DROP TABLE {kind}")
+    return found
+
+
 def written() -> int:
     """How many tables have been written so far; a mark for ``sweep``."""
     return len(_written)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import materialize
+from .common import materialize, materialize_by
 
 BANDS, ROWS = 20, 4
 THRESHOLD = 0.8
@@ -135,21 +135,24 @@ def _signed(bands: int, rows: int):
 
 
 def _bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The multiset of a text as the sorted hashes of (shingle, occurrence)."""
+    """The multiset of a text as the sorted hashes of (shingle, occurrence).
+
+    In comes ``id, h1, h2, text``; rows whose text has not these hashes are left out.
+    """
     for batch in batches:
-        for row, data, bounds in S.chunks(batch.column(1)):
+        named = [batch.column(k).to_numpy().view(_U) for k in (1, 2)]
+        for row, data, bounds in S.chunks(batch.column(3)):
             n = len(bounds) - 1
             words, of = S.word_hashes(data, bounds)
             a, b, _ = S.text_hashes(words, of, n)
+            own = (a == named[0][row : row + n]) & (b == named[1][row : row + n])
             h, t = S.shingles(words, of, n)
             units = S.mix(h + S.occurrences(h, t).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
             units = units[np.lexsort((units, t))]
             ends = np.cumsum(np.bincount(t, minlength=n))
             bags = [units[e - c : e].tobytes() for e, c in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(bags, pa.binary())],
-                ["id", "h1", "h2", "bag"],
-            )
+            found = pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(bags, pa.binary())], ["id", "bag"])
+            yield found.filter(pa.array(own))
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -287,23 +290,19 @@ def near_duplicates(
     )
     some = signed.filter("n_words > 0 AND id IS NOT NULL")
     size = F.greatest(F.col("n_words") - (S.WORDS - 1), F.lit(1)).alias("size")
-    nodes = materialize(
-        some.groupBy("h1", "h2").agg(F.min(F.struct("id", "n_words", "bands")).alias("one"))
-        .select("h1", "h2", "one.*").select("h1", "h2", "id", size, "bands"),
-        "nodes",
-    )
-    placed = nodes.select("id", "size", F.posexplode("bands").alias("band", "bucket"))
+    # A node is a word sequence; its number, unlike the least of its ids, is its own.
+    texts_of = some.groupBy("h1", "h2").agg(F.min(F.struct("id", "n_words", "bands")).alias("one")).select("h1", "h2", "one.*")
+    nodes = materialize(texts_of.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.col("id").alias("least"), size, "bands"), "nodes")
+    placed = nodes.select(F.col("node").alias("id"), "size", "least", F.posexplode("bands").alias("band", "bucket"))
     crowds = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(placed.join(crowds, ["band", "bucket"]), "members")
-    degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
-    needed = materialize(nodes.join(degree, "id").select("id", "h1", "h2", "degree"), "needed")
-    bags = materialize(
-        texts.join(needed.select("id").distinct(), "id", "left_semi").mapInArrow(_bagged, "id long, h1 long, h2 long, bag binary")
-        .join(needed, ["id", "h1", "h2"], "left_semi").select("id", "bag").dropDuplicates(["id"]),
-        "bags",
-    )
-    central = F.max_by(F.struct("id", "size"), F.struct("degree", -F.col("id"))).alias("y")
-    hubs = members.join(needed.select("id", "degree"), "id").groupBy("band", "bucket").agg(central)
+    degree = materialize(members.groupBy("id").agg(F.sum("n").alias("degree")), "degree")
+    needed = nodes.join(degree.select(F.col("id").alias("node")), "node").select("node", "h1", "h2", F.col("least").alias("id"))
+    # The same plan at every size: a merge join, and then no more shuffle of the bags.
+    known = texts.join(needed.hint("merge"), "id").select(F.col("node").alias("id"), "h1", "h2", "text")
+    bags = materialize_by(known.mapInArrow(_bagged, "id long, bag binary"), "bags", "id")
+    central = F.max_by(F.struct("id", "size"), F.struct("degree", -F.col("least"))).alias("y")
+    hubs = members.join(degree, "id").groupBy("band", "bucket").agg(central)
     stars = members.join(hubs, ["band", "bucket"]).filter(F.col("id") != F.col("y.id"))
     stars = materialize(stars.select(F.col("y.id").alias("hub"), F.col("y.size").alias("hub_size"), "id", "size").distinct(), "stars")
     first = stars.filter(_alike("size", "hub_size", threshold)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
@@ -312,15 +311,15 @@ def near_duplicates(
     links = links.union(materialize(verified(drawn, bags, threshold), "links"))
     rest = materialize(_open_pairs(stars, links, bags, threshold), "pairs")
     links = links.union(materialize(verified(rest, bags, threshold), "links"))
-    # Rows that repeat an id with another text tie that text's node to the id's class.
-    again = some.join(nodes.select("h1", "h2", F.col("id").alias("node")), ["h1", "h2"])
-    ties = again.filter("id <> node").join(nodes.select(F.col("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    # Rows that repeat an id with another text tie the nodes of both.
+    again = some.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node").distinct()
+    first_of = again.groupBy("id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    ties = again.join(first_of, "id").filter("node <> a").select("a", F.col("node").alias("b"))
     roots = materialize(components(links.select("a", "b").union(ties)), "roots")
-    belongs = (
-        nodes.select("h1", "h2", F.col("id").alias("node"))
-        .join(roots.select(F.col("id").alias("node"), "root"), "node", "left")
-        .select("h1", "h2", F.coalesce("root", "node").alias("root"))
-    )
+    rooted = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "least", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    named = materialize(rooted.groupBy("root").agg(F.min("least").alias("name")), "names")
+    belongs = rooted.join(named, "root").select("h1", "h2", F.col("name").alias("root"))
     has_words = F.col("has_words") & F.col("id").isNotNull()
     placed_rows = materialize(
         signed.select("id", "h1", "h2", (F.col("n_words") > 0).alias("has_words"))
