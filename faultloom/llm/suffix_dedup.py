@@ -11,15 +11,19 @@ strings that start at two places; neighbourhoods that overlap in one document do
 count as two places.
 
 Scale.  Only anchors occurring twice send bytes, so a shard array never holds the
-unique part of the corpus.  Shards have a bounded size whatever the input.  An anchor
-with more than ``hot`` occurrences does not go to one shard: its strings are counted
-by their 128-bit hashes, with map-side combine, over all tasks.  Texts travel packed.
+unique part of the corpus.  Shards have a bounded size whatever the input.  The pieces
+around an anchor with more than ``hot`` occurrences do not go to one shard: each is
+compared with one of them, its hub; what they have in common is done with, and where
+they differ from the hub tells apart groups of pieces, which then go to shards or are
+split once more.  Texts travel packed.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +40,7 @@ from .suffix_array import permuted_prefixes, suffix_array
 LENGTH = 200
 GRAM = 64
 #: Bytes that a shard holds on average, and occurrences that make an anchor hot.
-SHARD_BYTES, HOT = 1 << 21, 20_000
+SHARD_BYTES, HOT = 1 << 21, 4_000
 #: Bytes of a text that are looked at together.
 SLICE = 1 << 19
 
@@ -137,62 +141,130 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _around(length: int, gram: int):
-    """Pieces of text around anchors, by shard; strings around hot anchors by hash.
+    """Pieces of text around anchors, by shard; around hot anchors one piece each, by anchor.
 
-    In comes ``id, packed, at`` with places and shards (-1: hot) of a text's anchors.
-    Neighbourhoods of one text that overlap in one shard are one piece.
+    In comes ``id, packed, at`` with places, shards and hot anchors (else null) of a
+    text's anchors.  Neighbourhoods of one text that overlap in one shard are one piece.
     """
-    before, after, odd = length - gram, length, _U(0xA0761D6478BD642F)
-    names = ["shard", "id", "begin", "piece", "h1", "h2"]
+    before, after = length - gram, length
+    names = ["shard", "id", "begin", "piece", "key", "place"]
 
-    def pieces(data: bytes, place: np.ndarray, shard: np.ndarray):
+    def pieces(place: np.ndarray, shard: np.ndarray, size: int):
         order = np.lexsort((place, shard))
         place, shard = place[order], shard[order]
-        begin, end = np.maximum(place - before, 0), np.minimum(place + after, len(data))
+        begin, end = np.maximum(place - before, 0), np.minimum(place + after, size)
         heads = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (begin[1:] > end[:-1])))
         lasts = np.append(heads[1:] - 1, len(place) - 1)
         return shard[heads].tolist(), begin[heads].tolist(), end[lasts].tolist()
 
-    def strings(data: bytes, place: np.ndarray):
-        starts = np.unique((place[:, None] - np.arange(before + 1)).ravel())
-        starts = starts[(starts >= 0) & (starts + length <= len(data))]
-        for lot in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-            for cut in range(0, len(lot), SLICE):
-                own = lot[cut : cut + SLICE]
-                if len(own):
-                    part = np.frombuffer(data, np.uint8)[own[0] : own[-1] + length]
-                    yield own, gram_hashes(part, length), gram_hashes((part.astype(_U) * odd >> _U(56)).astype(np.uint8) ^ part, length)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            hot: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             at = batch.column(2)
             offsets, flat = at.offsets.to_numpy(), at.values
-            places, shards = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            places, shards, keys = (flat.field(k).fill_null(-1).to_numpy(zero_copy_only=False) for k in range(3))
             for i, (row, packed) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                data = zstandard.decompress(packed.as_py())
-                place, shard = places[offsets[i] : offsets[i + 1]], shards[offsets[i] : offsets[i + 1]]
-                cold = shard >= 0
+                data, own = zstandard.decompress(packed.as_py()), slice(offsets[i], offsets[i + 1])
+                place, cold = places[own], shards[own] >= 0
                 if cold.any():
-                    for k, b, e in zip(*pieces(data, place[cold], shard[cold]), strict=True):
-                        for column, value in zip(out, (k, row, b, data[b:e]), strict=True):
-                            column.append(value)
-                if not cold.all():
-                    for own, h1, h2 in strings(data, place[~cold]):
-                        for column, value in zip(hot, (np.full(len(own), row), own, h1.view(np.int64), h2.view(np.int64)), strict=True):
+                    for k, b, e in zip(*pieces(place[cold], shards[own][cold], len(data)), strict=True):
+                        for column, value in zip(out, (k, row, b, data[b:e], None, None), strict=True):
                             column.append(value)
-            n = len(out[0])
-            none = lambda n, kind: pa.nulls(n, kind)
-            cold_columns = [pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cold_columns, none(n, pa.int64()), none(n, pa.int64())], names)
-            if hot[0]:
-                ids, begins, h1, h2 = (pa.array(np.concatenate(c).astype(np.int64)) for c in hot)
-                yield pa.RecordBatch.from_arrays([none(len(ids), pa.int32()), ids, begins, none(len(ids), pa.binary()), h1, h2], names)
+                for p, key in zip(place[~cold].tolist(), keys[own][~cold].tolist(), strict=True):
+                    b = max(p - before, 0)
+                    for column, value in zip(out, (None, row, b, data[b : p + after], key, p), strict=True):
+                        column.append(value)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names)
+
+    return run
+
+
+_HOT = ("key", "id", "place", "begin", "piece", "low", "high")
+
+
+def _with_hub(length: int, gram: int):
+    """Compares pieces around a hot anchor with one of them, the hub.
+
+    A string is named by how many of its bytes lie before the anchor, ``low`` to
+    ``high``.  Those that the piece has in common with the hub are done: a row without a
+    piece.  Another string has the first byte before the anchor that differs or, if it
+    has not, the first behind it.  Of such strings only those of pieces that differ from
+    the hub there too, and by the same byte, can be equal: a row with a longer key.
+    """
+    spare = length - gram
+
+    def same(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b))
+        if a[:n] == b[:n]:
+            return n
+        return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+    def key(old: int, side: int, depth: int, byte: int) -> int:
+        with np.errstate(over="ignore"):
+            return int(mix(np.array([old], np.int64).view(_U) + _U(_STEP) * _U(1 + side + 4 * byte + 1024 * depth)).view(np.int64)[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for old, row, place, begin, piece, low, high, hub in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (hub["id"], hub["place"]) == (row, place):
+                    continue
+                at, hub_at, other = place - begin, hub["place"] - hub["begin"], hub["piece"]
+                word = piece[at : at + gram]
+                if word != other[hub_at : hub_at + gram]:  # equal hashes of unequal anchors
+                    out.append((key(old, 2, 0, zlib.crc32(word)), row, place, begin, piece, low, high))
+                    continue
+                left = min(same(piece[:at][::-1], other[:hub_at][::-1]), spare)
+                right = min(same(piece[at + gram :], other[hub_at + gram :]), spare)
+                first, last = max(low, spare - right, hub["low"]), min(high, left, hub["high"])
+                if first <= last:
+                    out.append((old, row, place, begin, None, first, last))
+                if left < high:
+                    out.append((key(old, 0, left, piece[at - left - 1]), row, place, begin, piece, max(low, left + 1), high))
+                if low <= min(high, left, spare - right - 1):
+                    deeper = key(old, 1, right, piece[at + gram + right])
+                    out.append((deeper, row, place, begin, piece, low, min(high, left, spare - right - 1)))
+            columns = list(zip(*out, strict=True)) or [()] * len(_HOT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "piece" else pa.int64()) for n, c in zip(_HOT, columns, strict=True)], list(_HOT))
 
     return run
 
 
+def _settle_hot(rows: DataFrame, length: int, gram: int, hot: int, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Spans that pieces around hot anchors have in common with hubs, and pieces for the shards.
+
+    Each round compares the pieces of a hot key with its hub and gives those that differ
+    keys of their own, by where and how they do; keys that are no longer hot go to shards.
+    A piece's strings are dealt out, never copied, and what is common is one row.
+    """
+    begin = (F.col("place") - F.col("high")).alias("begin")
+    span = F.col("id"), begin, (F.col("place") - F.col("low") + length).alias("end")
+    spans, cold = [], []
+    while True:
+        sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "hot-keys")
+        cut = F.substring("piece", (F.col("place") - F.col("high") - F.col("begin") + 1).cast("int"), (F.col("high") - F.col("low") + length).cast("int"))
+        some = rows.join(sizes.filter(F.col("n") <= hot), "key")
+        cold.append(some.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "id", begin, cut.alias("piece")))
+        if sizes.filter(F.col("n") > hot).isEmpty():
+            return _all_of(spans), _all_of(cold)
+        own = rows.join(sizes.filter(F.col("n") > hot).select("key"), "key")
+        widest = F.struct(F.col("low") - F.col("high"), "id", "place")
+        hubs = materialize(own.groupBy("key").agg(F.min_by(F.struct(*_HOT[1:]), widest).alias("hub")), "hubs")
+        shape = "key long, id long, place long, begin long, piece binary, low long, high long"
+        told = materialize(own.join(hubs, "key").select(*_HOT, "hub").mapInArrow(_with_hub(length, gram), shape), "hot")
+        done = told.filter("piece IS NULL")
+        # What any piece has in common with the hub, the hub has in common with it.
+        back = done.select("key", "low", "high").distinct().join(hubs, "key")
+        back = back.select(F.col("hub.id").alias("id"), F.col("hub.place").alias("place"), "low", "high").select(*span)
+        spans.append(done.select(*span).union(back))
+        rows = told.filter("piece IS NOT NULL")
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame | None:
+    return functools.reduce(DataFrame.union, parts) if parts else None
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """Spans of repeated bytes, ``id, begin, end``, unmerged.
 
@@ -210,12 +282,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
     loads = repeated.groupBy("first").agg(F.sum("n").alias("load"))
     lots = F.ceil(F.col("load") * length / shard_bytes)
     slot = F.pmod(F.xxhash64("first", F.pmod("anchor", lots)), F.lit(shards)).cast("int")
-    routed = materialize(
-        repeated.join(loads, "first").select("anchor", F.when(F.col("n") > hot, F.lit(-1)).otherwise(slot).alias("shard")), "routed"
-    )
-    places = all_anchors.join(routed, "anchor").groupBy("id").agg(F.collect_list(F.struct("place", "shard")).alias("at"))
+    shard = F.when(F.col("n") <= hot, slot).otherwise(F.lit(-1))
+    routed = materialize(repeated.join(loads, "first").select("anchor", shard.alias("shard")), "routed")
+    hot_anchor = F.when(F.col("shard") < 0, F.col("anchor")).alias("key")
+    places = all_anchors.join(routed, "anchor").groupBy("id").agg(F.collect_list(F.struct("place", "shard", hot_anchor)).alias("at"))
     packed = texts.mapInArrow(_packed, "id long, packed binary")
-    shape = "shard int, id long, begin long, piece binary, h1 long, h2 long"
+    shape = "shard int, id long, begin long, piece binary, key long, place long"
     around = materialize(packed.join(places, "id").select("id", "packed", "at").mapInArrow(_around(length, gram), shape), "pieces")
 
     def scan(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -234,11 +306,13 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
         columns = map(np.concatenate, zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
         return pd.DataFrame(dict(zip(("id", "begin", "end"), columns, strict=True)))
 
-    cold = around.filter("shard IS NOT NULL").select("shard", "id", "begin", "piece")
+    low = F.greatest(F.lit(0), F.col("place") + length - F.col("begin") - F.octet_length("piece"))
+    high = F.least(F.lit(length - gram), F.col("place") - F.col("begin"))
+    hot_rows = around.filter("key IS NOT NULL").select("key", "id", "place", "begin", "piece", low.cast("long").alias("low"), high.cast("long").alias("high"))
+    common, split = _settle_hot(hot_rows.filter("low <= high"), length, gram, hot, shards)
+    cold = around.filter("key IS NULL").select("shard", "id", "begin", "piece").union(split)
     spans = cold.groupBy("shard").applyInPandas(scan, "id long, begin long, end long")
-    strings = around.filter("shard IS NULL").select("id", "begin", "h1", "h2")
-    twice = materialize(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h1", "h2"), "twice")
-    return spans.union(strings.join(twice, ["h1", "h2"]).select("id", "begin", (F.col("begin") + length).alias("end")))
+    return spans.union(common) if common is not None else spans
 
 
 def suffix_dedup(
