@@ -50,6 +50,10 @@ ALLOWED = (
 
 KINDS = ("assign", "access", "hex", "entropy")
 SPAN = "array<struct<s:long,k:int,e:long>>"
+#: Matches that are folded together.
+LOT = 64
+#: Counts in one 64-bit word, and bits of a count; a window's counts fit in a few words.
+PACKED, COUNT_BITS = 12, 5
 
 
 def _matches(text: Column, pattern: str, kind: int) -> Column:
@@ -60,16 +64,31 @@ def _matches(text: Column, pattern: str, kind: int) -> Column:
         found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).cast("long").alias("g"))
     )
     empty = F.array().cast("array<struct<s:long,k:int,e:long,m:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
 
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        e = s + F.length(x["m"]).cast("long")
-        one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["m"].alias("m"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def fold(lot, begin):
+        """The spans of a few matches, of which the first's gap begins at ``begin``."""
 
+        def step(acc, x):
+            s = acc["at"] + x["g"]
+            e = s + F.length(x["m"]).cast("long")
+            one = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), x["m"].alias("m"))
+            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        return F.aggregate(lot, F.struct(begin.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def spans(pairs):
+        # A fold copies what it has so far at each step, so lots of a fixed size are
+        # folded, each from the sum of the lengths before it.
+        lots = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / LOT).cast("int")), lambda i: F.slice(pairs, i * LOT + 1, F.lit(LOT)))
+        total = lambda lot: F.aggregate(lot, F.lit(0).cast("long"), lambda n, x: n + x["g"] + F.length(x["m"]))
+        start = F.array(F.lit(0).cast("long"))
+        begins = lambda own: F.aggregate(own, start, lambda acc, lot: F.concat(acc, F.array(F.element_at(acc, -1) + total(lot))))
+        return F.flatten(F.zip_with(lots, F.slice(begins(lots), F.lit(1), F.size(lots)), fold))
+
+    # Bound once as a lambda's variable, so that the pairs are not made anew for each use.
+    whole = F.get(F.transform(F.array(pairs), spans), F.lit(0))
     # Most texts have no match: they skip the fold and the split altogether.
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(F.rlike(text, F.lit(pattern)), whole).otherwise(empty)
 
 
 def _clogc(c: int) -> float:
@@ -84,7 +103,16 @@ def window_bits(token: Column, window: int = WINDOW) -> Column:
     the running sum change.  A token shorter than the window gives null.
     """
     chars = F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    counts0 = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
+    if window >= 1 << COUNT_BITS:
+        raise ValueError("a count of the window does not fit its bits")
+    # Counts are kept 12 to a word; characters are numbered from 1.
+    places = range(len(ALPHABET))
+    counts0 = F.array_repeat(F.lit(0).cast("long"), len(ALPHABET) // PACKED + 1)
+    words, shifts = (F.array(*map(F.lit, x)) for x in ([p // PACKED for p in places], [p % PACKED * COUNT_BITS for p in places]))
+    count = lambda counts, code: F.call_function(
+        "shiftright", F.element_at(counts, F.element_at(words, code) + 1), F.element_at(shifts, code)
+    ).bitwiseAND((1 << COUNT_BITS) - 1).cast("int")
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), F.element_at(shifts, code))
     start = F.struct(counts0.alias("c"), F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("least"))
     gain = F.array(*(F.lit(0.0 if c < 1 else _clogc(c + 1) - _clogc(c)) for c in range(window + 2)))
 
@@ -94,11 +122,16 @@ def window_bits(token: Column, window: int = WINDOW) -> Column:
         def step(acc, i):
             enter = F.element_at(codes, i)
             leave = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
-            c_in = F.element_at(acc["c"], enter)
-            summed = acc["sum"] + F.element_at(gain, c_in + 1)
-            c_out = F.when(leave > 0, F.element_at(acc["c"], F.greatest(leave, F.lit(1))) + (enter == leave).cast("int")).otherwise(F.lit(1))
+            gone = F.greatest(leave, F.lit(1))
+            summed = acc["sum"] + F.element_at(gain, count(acc["c"], enter) + 1)
+            c_out = count(acc["c"], gone) + (enter == leave).cast("int")
             summed = F.when(leave > 0, summed - F.element_at(gain, F.greatest(c_out, F.lit(1)))).otherwise(summed)
-            counts = F.transform(acc["c"], lambda v, j: v + (j + 1 == enter).cast("int") - (j + 1 == leave).cast("int"))
+            counts = F.transform(
+                acc["c"],
+                lambda v, j: v
+                + F.when(F.element_at(words, enter) == j, one(enter)).otherwise(F.lit(0).cast("long"))
+                - F.when((leave > 0) & (F.element_at(words, gone) == j), one(gone)).otherwise(F.lit(0).cast("long")),
+            )
             least = F.when(i >= window, F.least(acc["least"], summed)).otherwise(acc["least"])
             return F.struct(counts.alias("c"), summed.alias("sum"), least.alias("least"))
 

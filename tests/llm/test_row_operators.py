@@ -118,3 +118,50 @@ def test_long_tokens_are_candidates(spark):
     assert [got[i] for i in range(5, 7)] == ["", ""]
     # the run of hex digits is a finding of its own, which an entropy finding may not overlap
     assert got[4] == "hex:0:10000"
+
+
+def scanned_by_hand(text):
+    """All spans of a text, by regular expressions and entropies worked out window by window."""
+    import math
+    from collections import Counter
+
+    rule = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    base = [(m.start(), 0, m.end()) for m in rule.finditer(text) if len(m[2]) >= 6]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    found = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+        token = m[0]
+        if len(token) < 20 or not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or any(re.search(p, token) for p in secret_scan.ALLOWED):
+            continue
+        windows = (Counter(token[i : i + 20]) for i in range(len(token) - 19))
+        best = max(-sum(c / 20 * math.log2(c / 20) for c in w.values()) for w in windows)
+        least = secret_scan.HEX_BITS if re.fullmatch("[0-9a-f-]+|[0-9A-F-]+", token) else secret_scan.BASE64_BITS
+        if best >= least - 1e-12 and not any(a < m.end() and m.start() < b for a, _, b in base):
+            found.append((m.start(), 3, m.end()))
+    show = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return show(base), show(found)
+
+
+def test_secret_query_against_brute_force(spark):
+    import hashlib
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in queries.op7_secret_scan(spark, SF).collect()}
+    assert len(got) == len(texts)
+    for i, text in texts.items():
+        base, found = scanned_by_hand(text)
+        kinds = [x.split(":")[0] for x in base.split(",")]
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(kinds.count(k) for k in secret_scan.KINDS[:3])
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and got[i]["spans"] == found
+
+
+def test_secret_scan_of_made_up_texts(spark):
+    import random
+
+    rng = random.Random(9)
+    parts = ["token=", "secret: '", "AKIA", "deadbeef0123", "-", "/", "é", " ", "example", "q7Zp2LxV9mKt4RbW8sYc1Nd6", "0123456789abcdef", "ABCDEF0123456789", "x"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.choice((5, 20, 300)))) for _ in range(40)] + ["token=abcdef " * 1000, "passwd=a1b2c3d4\n" * 65]
+    df = spark.createDataFrame([(7, t, "clash") for t in texts], "doc_id long, text string, found string").withColumn("base", F.lit(1))
+    got = sorted(tuple(r) for r in secret_scan.scan_secrets(df).select(secret_scan.spans_text(F.col("base")), secret_scan.spans_text(F.col("found"))).collect())
+    assert got == sorted(map(scanned_by_hand, texts))
