@@ -16,6 +16,7 @@ than an unsharded packing would, so padding does not grow with the input.
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import re
 import zlib
@@ -23,7 +24,6 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,25 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-zß-
 UNSAFE = re.compile(r"[^\x21-\x7eÀ-ÖØ-öø-ÿŒœ]|<\|")
 
 
+# How a tokenizer prepares texts if the quick way gives its ids.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class Words(dict):
     """Word of the tokenizer's pattern -> its ids, little-endian unsigned 32-bit."""
 
@@ -73,7 +92,8 @@ class WordEncoder(dict):
 
     The tokenizer lower-cases, splits into words that never cross white space, and
     encodes each word for itself, so ids can be kept by piece and by word.  A piece
-    with a character outside the quick way goes to the tokenizer whole.
+    with a character outside the quick way goes to the tokenizer whole, and so does every
+    whole text if the tokenizer splits texts in another way than this.
     """
 
     def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
@@ -82,10 +102,15 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.words = Words(self.tokenizer, most)
+        parts = json.loads(self.tokenizer.to_str())
+        self.quick = parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER and parts["post_processor"] is None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+        data = text.encode("utf-8", "replace")
+        if not self.quick:
+            return array("I", self.tokenizer.encode(data.decode(), add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, data.split()))
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= self.most:
@@ -221,19 +246,22 @@ def pack(
     A null or empty text is the end id alone.  Every id of a document is in exactly
     one piece, every piece in exactly one sequence of at most ``capacity`` ids, and the
     pieces of a sequence follow one another from offset 0 without a gap.  Rows with the
-    same id are packed each.  An empty table gives an empty result; columns other than
+    same id, or none, are packed each.  An empty table gives an empty result; columns other than
     the two named are not read.
     """
     pieces = materialize(tokenized_pieces(docs, tokenizer, id_col, text_col, capacity, end_id, piece), "pieces")
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], ignore_index=True)
-        rows["sequence_id"] = pack_sizes(rows["length"].to_numpy(), capacity) + (int(key[0]) << 32)
-        rows = rows.sort_values(["sequence_id", "doc_id", "start"], ignore_index=True)
-        rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
-        return rows.drop(columns="shard")
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("shard").sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        window = pack_sizes(rows["length"].to_numpy(), capacity)
+        rows = rows.append_column("sequence_id", pa.array(window + (key[0].as_py() << 32)))
+        rows = rows.sort_by([("sequence_id", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+        sequence, length = rows["sequence_id"].to_numpy(), rows["length"].to_numpy()
+        upto = np.cumsum(length) - length
+        heads = np.flatnonzero(np.append(True, sequence[1:] != sequence[:-1]))
+        return rows.append_column("offset", pa.array(upto - np.repeat(upto[heads], np.diff(np.append(heads, len(sequence))))))
 
     # Dealt by place in the written table: rows that repeat an id spread like others.
     shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(place, PACKED)
+    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(place, PACKED)
