@@ -29,6 +29,29 @@ def test_language_held_out(spark):
     assert got.filter("lang = lang_pred").count() >= 0.95 * got.count() > 0
 
 
+def test_language_against_brute_force(spark):
+    """The same ridge regression and decoding on all rows at once; the sample bound is above their number."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    taught = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None and r["text"] is not None]
+    names = sorted({r["lang"] for r in taught})
+    x = np.array([langid.profile(r["text"]) for r in taught], float)
+    y, code = np.array([names.index(r["lang"]) for r in taught]), langid.codewords(len(names))
+    w = 1 / np.bincount(y)[y] / len(names)
+    weights = np.linalg.solve((x * w[:, None]).T @ x + langid.RIDGE * np.eye(x.shape[1]), (x * w[:, None]).T @ code[y])
+    trust = (((x @ weights) * code[y] > 0) * w[:, None]).sum(axis=0).clip(0.05)
+    got = {r["doc_id"]: r for r in queries()["op8_language_id"](spark, SF).collect()}
+    for r in rows:
+        if r["text"] is None or not any(map(str.isalpha, r["text"])):
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        loss = (np.exp(-2 * (langid.profile(r["text"]).astype(float) @ weights) * code) * trust).sum(axis=1) / trust.sum()
+        share = np.exp(-4 * (loss - loss.min()))
+        share /= share.sum()
+        assert abs(got[r["doc_id"]]["score"] - share.max()) < 0.02
+        if np.diff(np.sort(share))[-1] > 0.05:
+            assert got[r["doc_id"]]["lang_pred"] == names[int(share.argmax())]
+
+
 def test_language_hard_rows(spark, hard):
     model = langid.LanguageModel.fit(hard.withColumn("lang", F.lit("en")))
     got = sorted((r["doc_id"], r["lang_pred"]) for r in langid.identify(hard, model).collect())
@@ -45,6 +68,25 @@ def test_quality_held_out(spark):
     assert got.filter("predicted = quality").count() >= 0.9 * got.count() > 0
 
 
+def test_quality_against_brute_force(spark):
+    """Class densities worked out with whole matrices, inverses and determinants."""
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] in (0, 1)]
+    taught = [(i, q) for i, q in labels if i in rows and zlib.crc32(str(i).encode()) % 3 != 1]
+    x, y = np.array([quality.statistics(rows[i]) for i, _ in taught]), np.array([q for _, q in taught])
+    spread = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * spread[k] for k in (0, 1))
+    parts = []
+    for k in (0, 1):
+        mixed = (1 - quality.TO_POOLED) * spread[k] + quality.TO_POOLED * pooled
+        parts.append((x[y == k].mean(axis=0), (1 - quality.TO_IDENTITY) * mixed + quality.TO_IDENTITY * np.diag(np.diag(pooled).clip(1e-6)), (y == k).mean()))
+    for r in queries()["op6_quality"](spark, SF).collect():
+        v = np.array(quality.statistics(rows[r["doc_id"]]))
+        logs = [math.log(p) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (v - m) @ np.linalg.inv(s) @ (v - m) for m, s, p in parts]
+        want = 1 / (1 + math.exp(min(max(logs[0] - logs[1], -700), 700)))
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_quality_hard_rows(spark, hard):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
     got = quality.score_quality(hard, labels).collect()
@@ -67,24 +109,54 @@ def test_neighbours_against_brute_force(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def recall(spark, x, queries, **options):
+    """Mean recall at 20 against brute force, with scores, order and own ids checked."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    got = {}
+    for r in ann.nearest_neighbours(df, df.filter(F.col("vec_id").isin(queries)), k=20, **options).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert sorted(got) == sorted(queries)
+    found = []
+    for q, rows in got.items():
+        s = np.einsum("ij,j->i", x, x[q])
+        order = np.lexsort((np.arange(len(x)), -s))
+        want = order[order != q][:20]
+        mine = [rows[rank] for rank in sorted(rows)]
+        assert sorted(rows) == list(range(1, 21)) and q not in dict(mine) and mine == sorted(mine, key=lambda m: (-m[1], m[0]))
+        assert all(abs(s[v] - score) < 1e-12 for v, score in mine)
+        found.append(len(set(want.tolist()) & {v for v, _ in mine}) / 20)
+    return float(np.mean(found))
+
+
+def test_neighbours_recall_without_clusters(spark):
+    x = np.random.default_rng(1).normal(size=(20_000, 32))
+    assert recall(spark, x / np.linalg.norm(x, axis=1)[:, None], list(range(0, 20_000, 100))) >= 0.95
+
+
+def test_neighbours_recall_in_clusters_of_many_lengths(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 24)) * 4
+    x = centres[rng.integers(0, 40, 12_000)] + rng.normal(size=(12_000, 24)) * rng.uniform(0.1, 1.0, (12_000, 1))
+    assert recall(spark, x, list(range(0, 12_000, 100)), block_rows=1000) >= 0.9
+
+
 def test_neighbours_beside_many_copies(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
     plain = np.array([r["embedding"] for r in rows], float)
-    rng, recalls = np.random.default_rng(11), []
-    for chosen in rng.choice(len(plain), 4, replace=False):
-        x = np.concatenate([plain, np.repeat(plain[chosen : chosen + 1], len(plain) // 2, axis=0)])
-        ids, longest = rng.permutation(len(x)), math.sqrt((x**2).sum(axis=1).max())
-        points = ann._lifted(plain[rng.permutation(len(plain))[: ann.PIVOTS]], longest)
-        block = ann.PermutationBlock(ids, x, points, longest, ann.NEAREST)
-        for q in rng.choice(len(plain), 50, replace=False):
-            found, scores = block.search(ids[q], x[q], 20, ann.SHARE, ann.LEAST)
-            s = np.einsum("ij,j->i", x, x[q])
-            s[q] = -9
-            want = ids[np.lexsort((ids, -s))[:20]]
-            assert len(found) == len(set(found)) == 20 and ids[q] not in found and (np.diff(scores) <= 0).all()
-            recalls.append(len(set(want) & set(found)) / 20)
-    assert np.mean(recalls) >= 0.96, (np.mean(recalls), min(recalls), np.mean(np.array(recalls) < 0.9))
-    print("recall beside copies", np.mean(recalls), min(recalls), np.mean(np.array(recalls) < 0.9))
+    x = np.concatenate([plain, np.repeat(plain[77:78], len(plain) // 2, axis=0)])
+    assert recall(spark, x[np.random.default_rng(3).permutation(len(x))], list(range(0, len(x), 20)), block_rows=500) >= 0.93
+
+
+def test_regions_hold_their_entries():
+    rng = np.random.default_rng(4)
+    pivots, held = rng.normal(size=(50, 8)), rng.integers(0, 400, 50)
+    held[3], held[9] = 5000, 0
+    blocks = ann.regions(pivots, held, 1000)
+    assert len(blocks[3]) == 5 and blocks[9] == []
+    sums = Counter()
+    for n, own in zip(held.tolist(), blocks, strict=True):
+        sums.update({b: n / len(own) for b in own})
+    assert sorted(sums) == list(range(len(sums))) and max(sums.values()) <= 1000
 
 
 def test_neighbours_hard_rows(spark):
@@ -114,6 +186,40 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == root
 
 
+def classes(docs, threshold=0.8):
+    bags, root = {i: bag(t) for i, t in docs.items()}, {i: i for i in docs}
+    for i in bags:
+        for j in bags:
+            if j < i:
+                both = sum((bags[i] & bags[j]).values())
+                if both and both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= threshold:
+                    a, b = root[i], root[j]
+                    root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()} if a != b else root
+    return root
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_crowds(spark, seed):
+    """Copies of a few texts at all distances, with and without those that link them."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randrange(400))
+    bases, docs = [[word() for _ in range(n)] for n in (60, 150, 150)], {}
+    bases[2][:75] = bases[1][:75]
+    for i in range(150):
+        text = list(rng.choice(bases))
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 6, 9))):
+            text[rng.randrange(len(text))] = word()
+        docs[i] = " ".join(text)
+    for i in range(150, 200):  # chains: each a little further from the one before
+        text = docs[i - 1].split()
+        text[rng.randrange(len(text))] = word()
+        docs[i] = " ".join(text)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()} == classes(docs)
+
+
 def test_near_duplicates_hard_rows(spark, hard):
     got = sorted((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in minhash.near_duplicates(hard).collect())
     assert got == [(1, 1, 2, True), (2, 2, 1, True), (3, 3, 1, True), (4, 4, 1, True), (5, 5, 1, True), (6, 1, 2, False), (7, 7, 2, True), (7, 7, 2, True)]
@@ -189,6 +295,29 @@ def test_packing_round_trip(spark, hard):
     assert packing.pack(docs.limit(0), default_tokenizer()).count() == 0
 
 
+def test_packing_hard_rows(spark, hard):
+    """Ids beyond the exact range of a double stay exact beside a null id; repeated ids are packed each."""
+    rows = [((1 << 53) + 1, "one two"), ((1 << 53) + 3, "three"), (None, "four"), (None, None), (5, "five"), (5, "five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash")).withColumn("length", F.lit(-1))
+    got = packing.pack(df, default_tokenizer()).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert packing.pack(hard, default_tokenizer()).filter("start = 0").count() == len(HARD)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packing_with_any_tokenizer(spark, name):
+    import public_tokenizers
+
+    path, texts = public_tokenizers.path(name), ["Hello  World's\ttabs 123", "", "İstanbul ÀB e\u0301 <|endoftext|>", "x" * 5000]
+    own = packing.encoder(path)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["start"]): (r["length"], r["ids_crc32"]) for r in packing.pack(df, path).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*own.tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        n = got[i, 0][0]
+        assert own.encode(text) == ids[:-1].tobytes() and got[i, 0][1] == zlib.crc32(ids[:n].tobytes())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

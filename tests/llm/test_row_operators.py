@@ -46,12 +46,46 @@ def test_exact_dedup_hard_rows(spark):
     assert exact_dedup.exact_dedup(hard_rows(spark).limit(0)).count() == 0
 
 
+def test_exact_dedup_sorts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = exact_dedup.sorted_texts(docs, "doc_id", "text", "max", 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [head" in plan and "rangepartitioning(head" in plan and "HashAggregate" not in plan
+
+
+def test_exact_dedup_runs_over_partitions(spark):
+    """Runs longer than a partition and a batch, of which only the ends meet other texts."""
+    text = F.when(F.col("id") < 3000, "b Hot Text").when(F.col("id") < 3010, "a").otherwise(F.concat(F.lit("c"), (F.col("id") % 50).cast("string")))
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text")).repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keep, best in (("max", max), ("min", min)):
+            groups = {}
+            for r in df.collect():
+                groups.setdefault(r["text"].lower(), []).append(r["doc_id"])
+            want = sorted((i, best(ids), len(ids), i == best(ids)) for ids in groups.values() for i in ids)
+            got = exact_dedup.exact_dedup(df, keep=keep)
+            assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_exact_dedup_hot_group(spark):
     df = spark.range(1, 1201).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "same Text").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
     got = exact_dedup.exact_dedup(df).cache()
     assert got.filter("group_size = 800 AND keep_id = 1199").count() == 800 and got.filter("kept").count() == 401
 
 
+def test_line_dedup_hot_site(spark):
+    """One site with most pages and many boilerplate lines, as one hash table."""
+    text = F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("menu "), i.cast("string"))), "\n"), F.lit("\nbody "), F.col("id").cast("string"))
+    df = spark.range(3000).select("id", text.alias("text"), F.when(F.col("id") < 2900, "hot").otherwise("cold").alias("host"))
+    got = line_dedup.drop_site_lines(df, "text", "host").groupBy("n_lines", "n_dropped").count().collect()
+    assert [tuple(r) for r in got] == [(101, 100, 3000)]
+
+
 def test_line_dedup_hard_rows(spark):
     rows = [(i, f"menu\nbody {i}\n\nmenu ", "h") for i in range(20)] + [(20, None, "h"), (21, "", "h"), (22, "menu\nmenu", None), (23, "alone", "q")]
     df = spark.createDataFrame(rows, "page long, text string, host string").withColumn("site", F.lit(1)).withColumn("hash", F.lit(2)).withColumn("n_lines", F.lit(3))
