@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests, notebooks).
+#: Used only where the session names no checkpoint folder and driver and executors are one process.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 #: What counts as white space between words: space and tab to carriage return.
@@ -25,6 +26,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
     return jsc.getCheckpointDir().get().rstrip("/")
 
