@@ -6,11 +6,14 @@ only.  Lineage is cut through the checkpoint folder, so a lost executor costs a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
 
+#: Used only where the session names no checkpoint folder and driver and executors are one process.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -18,7 +21,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the session's folder (a default one in tests)."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or LOCAL_CHECKPOINTS)
     return df.checkpoint()
 
 
