@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 #: Used only where the session names no checkpoint folder and driver and executors are one process.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
+#: Bytes of rows that a Python worker gets at once.
+BATCH_BYTES = 8 << 20
+
 #: What counts as white space between words: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,6 +37,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches for Python workers of ``BATCH_BYTES``, whatever the rows' size, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None) is None
+    if own:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(key)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
@@ -40,7 +59,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/faultloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -50,7 +70,9 @@ def materialize_by(df: DataFrame, name: str, column: str) -> DataFrame:
     spark, kind = df.sparkSession, f"faultloom_{name}_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark)}/{kind}"
     count = shuffle_partitions(spark)
-    df.repartition(count, column).dropDuplicates([column]).write.bucketBy(count, column).sortBy(column).option("path", path).format("parquet").saveAsTable(kind)
+    one = df.repartition(count, column).dropDuplicates([column])
+    with _small_batches(spark):
+        one.write.bucketBy(count, column).sortBy(column).option("path", path).format("parquet").saveAsTable(kind)
     _written.append(path)
     found = spark.table(kind)
     found.schema  # resolved: what follows takes the name from the catalog, not the files

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text that are worked on together, beyond which a text goes alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _U = np.uint64
 
