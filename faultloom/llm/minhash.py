@@ -39,6 +39,8 @@ THRESHOLD = 0.8
 SURE = 6.0
 #: Members drawn from a bucket that those its hub did not link are compared with.
 DRAWS = 2
+#: Pairs of one hub that a task compares.
+LOT = 500
 
 _U = np.uint64
 
@@ -164,6 +166,18 @@ def overlap(a: bytes, b: bytes) -> float:
     return common / (len(both) - common) if len(both) else 0.0
 
 
+def _both_bags(pairs: DataFrame, one: str, hub: str, bags: DataFrame) -> DataFrame:
+    """``pairs`` with the bag ``x`` of ``one`` and ``y`` of ``hub``; a hub of many pairs goes to several tasks.
+
+    Its bag is copied once for ``LOT`` pairs, so the copies are few beside the bags ``x``.
+    """
+    lots = pairs.groupBy(hub).agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
+    dealt = pairs.join(lots, hub).withColumn("lot", F.pmod(F.xxhash64(one), F.col("lots")).cast("int")).drop("lots")
+    hubs = bags.select(F.col("id").alias(hub), F.col("bag").alias("y")).join(lots, hub)
+    hubs = hubs.withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots")
+    return dealt.join(bags.select(F.col("id").alias(one), F.col("bag").alias("x")), one).join(hubs, [hub, "lot"])
+
+
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``a, b`` whose bags overlap enough, with ``similarity``."""
 
@@ -173,9 +187,7 @@ def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array(s >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["a", "b", "similarity"]).filter(keep)
 
-    both = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(
-        bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b"
-    )
+    both = _both_bags(pairs.select("a", "b"), "a", "b", bags)
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -254,7 +266,7 @@ def _open_pairs(stars: DataFrame, links: DataFrame, bags: DataFrame, threshold:
     rooted = stars.join(components(links), "id", "left").select("hub", "id", "size", F.coalesce("root", "id").alias("root"))
     mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("hub")
     rooted = materialize(rooted.join(mixed, "hub"), "open")
-    both = rooted.join(bags.select("id", F.col("bag").alias("x")), "id").join(bags.select(F.col("id").alias("hub"), F.col("bag").alias("y")), "hub")
+    both = _both_bags(rooted, "id", "hub", bags)
     units = both.select("hub", "id", "size", "root", "x", "y").mapInArrow(_differences, "hub long, id long, size long, root long, d long, unit long")
     units = materialize(units, "units")
     # Units of one component alone join nothing: they come first, and are only counted.
