@@ -145,6 +145,8 @@ def _around(length: int, gram: int):
 
     In comes ``id, packed, at`` with places, shards and hot anchors (else null) of a
     text's anchors.  Neighbourhoods of one text that overlap in one shard are one piece.
+    Of equal pieces of one text around a hot anchor one comes out, and the span of them
+    all, with its end in ``place`` and without a piece.
     """
     before, after = length - gram, length
     names = ["shard", "id", "begin", "piece", "key", "place"]
@@ -170,10 +172,17 @@ def _around(length: int, gram: int):
                     for k, b, e in zip(*pieces(place[cold], shards[own][cold], len(data)), strict=True):
                         for column, value in zip(out, (k, row, b, data[b:e], None, None), strict=True):
                             column.append(value)
+                seen: dict[tuple[int, bytes], list[int]] = {}
                 for p, key in zip(place[~cold].tolist(), keys[own][~cold].tolist(), strict=True):
-                    b = max(p - before, 0)
-                    for column, value in zip(out, (None, row, b, data[b : p + after], key, p), strict=True):
-                        column.append(value)
+                    if len(piece := data[max(p - before, 0) : p + after]) >= length:
+                        seen.setdefault((key, piece), []).append(p)
+                for (key, piece), several in seen.items():
+                    rows = [(None, row, max(several[0] - before, 0), piece, key, several[0])]
+                    if len(several) > 1:  # equal pieces of one text: all but one are done
+                        begins = np.sort(np.maximum(np.array(several) - before, 0))
+                        rows += [(None, row, b, None, None, e) for b, e in zip(*map(np.ndarray.tolist, runs(begins, len(piece))), strict=True)]
+                    for column, values in zip(out, zip(*rows, strict=True), strict=True):
+                        column.extend(values)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names)
 
@@ -245,19 +254,23 @@ def _settle_hot(rows: DataFrame, length: int, gram: int, hot: int, shards: int)
         sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "hot-keys")
         cut = F.substring("piece", (F.col("place") - F.col("high") - F.col("begin") + 1).cast("int"), (F.col("high") - F.col("low") + length).cast("int"))
         some = rows.join(sizes.filter(F.col("n") <= hot), "key")
-        cold.append(some.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "id", begin, cut.alias("piece")))
+        cold.append(materialize(some.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "id", begin, cut.alias("piece")), "cold"))
         if sizes.filter(F.col("n") > hot).isEmpty():
             return _all_of(spans), _all_of(cold)
-        own = rows.join(sizes.filter(F.col("n") > hot).select("key"), "key")
+        own = rows.join(sizes.filter(F.col("n") > hot).select("key"), "key").withColumn("hash", F.xxhash64("piece"))
+        # The hub is one of the most frequent pieces; of equally frequent ones any, not the first.
+        often = own.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n"))
+        often = often.groupBy("key").agg(F.max_by("hash", F.struct("n", F.xxhash64("hash"))).alias("hash"))
         widest = F.struct(F.col("low") - F.col("high"), "id", "place")
-        hubs = materialize(own.groupBy("key").agg(F.min_by(F.struct(*_HOT[1:]), widest).alias("hub")), "hubs")
+        hubs = own.join(often, ["key", "hash"]).groupBy("key").agg(F.min_by(F.struct(*_HOT[1:]), widest).alias("hub"))
+        hubs = materialize(hubs, "hubs")
         shape = "key long, id long, place long, begin long, piece binary, low long, high long"
         told = materialize(own.join(hubs, "key").select(*_HOT, "hub").mapInArrow(_with_hub(length, gram), shape), "hot")
         done = told.filter("piece IS NULL")
         # What any piece has in common with the hub, the hub has in common with it.
         back = done.select("key", "low", "high").distinct().join(hubs, "key")
         back = back.select(F.col("hub.id").alias("id"), F.col("hub.place").alias("place"), "low", "high").select(*span)
-        spans.append(done.select(*span).union(back))
+        spans.append(done.select(*span).union(materialize(back, "back")))
         rows = told.filter("piece IS NOT NULL")
 
 
@@ -308,11 +321,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, sha
 
     low = F.greatest(F.lit(0), F.col("place") + length - F.col("begin") - F.octet_length("piece"))
     high = F.least(F.lit(length - gram), F.col("place") - F.col("begin"))
+    inside = around.filter("piece IS NULL").select("id", "begin", F.col("place").alias("end"))
     hot_rows = around.filter("key IS NOT NULL").select("key", "id", "place", "begin", "piece", low.cast("long").alias("low"), high.cast("long").alias("high"))
     common, split = _settle_hot(hot_rows.filter("low <= high"), length, gram, hot, shards)
-    cold = around.filter("key IS NULL").select("shard", "id", "begin", "piece").union(split)
+    cold = around.filter("shard IS NOT NULL").select("shard", "id", "begin", "piece").union(split)
     spans = cold.groupBy("shard").applyInPandas(scan, "id long, begin long, end long")
-    return spans.union(common) if common is not None else spans
+    return _all_of([spans, inside] + ([common] if common is not None else []))
 
 
 def suffix_dedup(

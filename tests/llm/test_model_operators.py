@@ -270,6 +270,28 @@ def test_suffix_dedup_against_brute_force(spark, hot):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), int(gone.sum()), runs, hashlib.sha256(left).hexdigest())
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1, 5])
+def test_suffix_dedup_of_runs_and_shared_passages(spark, hot):
+    """Runs of one word in many texts, and a passage with unlike neighbours, cut short here and there."""
+    import random
+
+    rng, length = random.Random(6), 200
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = noise(420)
+    texts = [noise(rng.randrange(80)) + "the " * rng.choice((40, 70, 120)) + noise(rng.randrange(80)) for _ in range(12)]
+    texts += [noise(rng.choice((0, 3, 150))) + passage[rng.choice((0, 0, 90)) : rng.choice((420, 420, 330))] + noise(rng.choice((0, 3, 150))) for _ in range(40)]
+    texts += ["x" * 700, "x" * 450, "ab" * 150 + "x" * 300, passage[:260] + "Z" + passage[261:]]
+    seen, want = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1)), {}
+    for doc, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for i in range(len(t) - length + 1):
+            if seen[t[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        want[doc] = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+    df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)], "doc_id long, text string, packed string, at int")
+    assert {r["doc_id"]: r["kept_text"] for r in suffix_dedup.suffix_dedup(df, hot=hot).collect()} == want
+
+
 def test_suffix_dedup_repeated_ids(spark):
     rows = [(1, "x" * 150 + "y" * 100), (1, "x" * 150 + "y" * 100), (2, "short")]
     got = sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
