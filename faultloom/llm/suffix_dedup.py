@@ -40,7 +40,7 @@ from .suffix_array import permuted_prefixes, suffix_array
 LENGTH = 200
 GRAM = 64
 #: Bytes that a shard holds on average, and occurrences that make an anchor hot.
-SHARD_BYTES, HOT = 1 << 21, 4_000
+SHARD_BYTES, HOT = 1 << 20, 4_000
 #: Bytes of a text that are looked at together.
 SLICE = 1 << 19
 
