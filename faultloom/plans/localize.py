@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LocalizationConfig
@@ -58,17 +59,20 @@ def frames(inputs: Inputs, causes_first: bool) -> DataFrame:
 def path_edges(inputs: Inputs, config: LocalizationConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges of log paths, of stack chains, and the log methods of reports."""
     events = report_events(inputs)
-    matched = graph.cut(matching.match_templates(events, inputs.templates).select("title", "log_pos", "method"))
+    system = F.split(names.project_of(F.col("version")), "-")[0].alias("system")
+    matched = graph.cut(matching.match_templates(events, inputs.templates).select("title", system, "log_pos", "method"))
     edges = graph.cut(graph.resolved_calls(inputs.calls, inputs.call_methods))
     callers = inputs.calls.select(F.col("method").alias("caller"), "callee").distinct()
-    inner = graph.execution_edges(edges, matched.select("title", "method").distinct())
+    # A traversal never leaves the system under test; there are as many runs as systems.
+    systems = sorted(r["system"] for r in matched.select("system").distinct().collect() if r["system"])
+    own_of = lambda s: matched.filter((F.col("system") == s) & F.contains("method", F.lit(s))).select("title", "method").distinct()
+    parts = [graph.execution_edges(graph.in_system(edges, s), own_of(s)) for s in systems]
+    inner = functools.reduce(DataFrame.unionByName, parts) if parts else graph.execution_edges(edges, matched.select("title", "method").limit(0))
     chains = graph.upstream_chains(matched.select(F.col("method").alias("target")), callers, config.upstream_depth)
     own = matched.join(chains, matched["method"] == chains["target"]).select("title", "log_pos", "chain")
     if config.greedy_chains:
         own = graph.accepted_chains(own)
     log_edges = inner.unionByName(graph.chain_edges(own.select("title", "chain"))).distinct()
-    from pyspark.sql import Window
-
     following = F.lead("method").over(Window.partitionBy("title", "trace").orderBy("pos"))
     stack_edges = frames(inputs, causes_first=False).withColumn("dst", following).filter("dst IS NOT NULL").select("title", F.col("method").alias("src"), "dst").distinct()
     return log_edges, stack_edges, matched

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logs, names, text
 from ..operators import coverage, evaluate, graph, matching, reports, resolve, scoring, vsm
-from ..sources import readers
+from ..sources import javasrc, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -246,6 +246,26 @@ def log_field_extract(spark, sf_dir):
     return found.select("event_id", F.col("e.line").alias("at_line"), "e.class", "e.type", "e.content")
 
 
+@_query(f"""WITH e AS (SELECT *, {_LEVEL_SQL} AS level, event_id % 4 AS k FROM events)
+    SELECT event_id, CASE k WHEN 0 THEN 'hbase' WHEN 1 THEN 'cassandra' WHEN 2 THEN 'other' ELSE 'zookeeper' END AS system,
+           CASE k WHEN 0 THEN 'regionserver.' || event_type WHEN 1 THEN upper(event_type[1]) || event_type[2:] WHEN 2 THEN 'a.b.' || event_type ELSE upper(event_type[1]) || event_type[2:] END AS class,
+           level AS type, CASE k WHEN 3 THEN 'user ' || user_id ELSE 'done ' || event_id || ' (x): ok' END AS content
+    FROM e WHERE level <> 'FATAL' OR k = 3""")
+def log_fields_by_system(spark, sf_dir):
+    """Lines as HBase, Cassandra and other systems write them, and ZooKeeper's lines with a full class name."""
+    k, level, name = F.col("event_id") % 4, F.expr(_LEVEL_SQL), F.concat(F.upper(F.substring("event_type", 1, 1)), F.substring("event_type", 2, 99))
+    stamp, done = F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("done "), F.col("event_id").cast("string"), F.lit(" (x): ok"))
+    line = (
+        F.when(k == 0, F.concat(stamp, F.lit(",123 "), level, F.lit(" [main-1] regionserver."), "event_type", F.lit(": "), done))
+        .when(k == 1, F.concat(level, F.lit(" [Stage:1] "), stamp, F.lit(",123 "), name, F.lit(".java (line 12) "), done))
+        .when(k == 2, F.concat(stamp, F.lit(",123 "), level, F.lit(" a.b."), "event_type", F.lit(": "), done))
+        .otherwise(F.concat(stamp, F.lit(",123 "), level, F.lit(" org.x."), name, F.lit(": user "), F.col("user_id").cast("string")))
+    )
+    system = F.when(k == 0, "hbase").when(k == 1, "cassandra").when(k == 2, "other").otherwise("zookeeper")
+    found = _t(spark, sf_dir, "events").select("event_id", system.alias("system"), logs.log_fields(line, system).alias("e")).filter("e IS NOT NULL")
+    return found.select("event_id", "system", "e.class", "e.type", "e.content")
+
+
 @_query("""SELECT event_id, event_id % 2 = 0 AS is_log, event_id % 3 = 0 AS is_stack FROM events""")
 def line_recognition(spark, sf_dir):
     e = _lines(spark, sf_dir)
@@ -434,10 +454,9 @@ def call_site_hit(spark, sf_dir):
 
 
 _CALLABLE_SQL = """cb AS (SELECT p_partkey AS id, 'c.P' || p_size AS class, 'm' || p_partkey AS name, CASE p_partkey % 4 WHEN 0 THEN 'src/java/test/T.java' WHEN 1 THEN 'src/java/main/M.java' WHEN 2 THEN 'src/java/generated/G.java' ELSE 'doc/x' END AS file, p_size AS start_line FROM part),
-    st AS (SELECT l_orderkey * 10 + l_linenumber AS id, 1 + l_orderkey % 200 AS enclosing, l_partkey AS callee FROM lineitem WHERE l_orderkey % 29 = 1 AND l_suppkey % 3 > 0), ed AS (SELECT DISTINCT enclosing AS src, callee AS dst FROM st)"""
+    st AS (SELECT l_orderkey * 10 + l_linenumber AS id, 1 + l_orderkey % 200 AS enclosing, l_partkey AS callee FROM lineitem), ed AS (SELECT DISTINCT enclosing AS src, callee AS dst FROM st)"""
 
 
-_CALL_SITES = "l_orderkey % 29 = 1 AND l_suppkey % 3 > 0"
 _STATIC_SQL = f"""WITH RECURSIVE {_CALLABLE_SQL}, rc(t, n) AS (SELECT id, id FROM cb WHERE id % 4 = 0 UNION SELECT t, dst FROM rc JOIN ed ON n = src),
     hit AS (SELECT DISTINCT dst FROM ed WHERE src IN (SELECT id FROM cb WHERE id % 4 = 0)),
     ct AS (SELECT enclosing, count(*) AS total, count(hit.dst) AS hit FROM (SELECT DISTINCT * FROM st) s LEFT JOIN hit ON callee = dst GROUP BY 1)
@@ -445,27 +464,20 @@ _STATIC_SQL = f"""WITH RECURSIVE {_CALLABLE_SQL}, rc(t, n) AS (SELECT id, id FRO
     FROM rc JOIN cb m ON m.id = n AND m.id % 4 IN (1, 2) JOIN cb t ON t.id = rc.t LEFT JOIN ct ON enclosing = m.id"""
 
 
-def _static_coverage(spark, sf_dir, calls: DataFrame) -> DataFrame:
+@_query(_STATIC_SQL)
+def static_coverage(spark, sf_dir):
+    """Over all call sites; those of every third supplier are constructions."""
     k = F.col("p_partkey") % 4
     file = F.when(k == 0, "src/java/test/T.java").when(k == 1, "src/java/main/M.java").when(k == 2, "src/java/generated/G.java").otherwise("doc/x")
     name = F.concat(F.lit("m"), F.col("p_partkey").cast("string"))
     callables = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("c.P"), F.col("p_size").cast("string")).alias("class"), name.alias("name"), F.concat(name, F.lit("()")).alias("signature"), file.alias("file"), F.col("p_size").alias("start_line"))
-    sites = calls.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (1 + F.col("l_orderkey") % 200).alias("enclosing"), F.col("l_partkey").alias("callee"))
-    edges = coverage.direct_edges(sites, sites.limit(0))
+    calls = _t(spark, sf_dir, "lineitem")
+    sites = calls.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (1 + F.col("l_orderkey") % 200).alias("enclosing"), F.col("l_partkey").alias("callee"), (F.col("l_suppkey") % 3 == 0).alias("new"))
+    edges = coverage.direct_edges(sites.filter("NOT new"), sites.filter("new"))
+    sites = sites.drop("new")
     return coverage.coverage_summary(coverage.file_kind(callables, "zookeeper"), sites, edges)
 
 
-@_query(_STATIC_SQL)
-def static_coverage(spark, sf_dir):
-    """Over the call sites that its SQL selects; ``static_coverage_whole`` takes all."""
-    return _static_coverage(spark, sf_dir, _t(spark, sf_dir, "lineitem").filter(_CALL_SITES))
-
-
-@_query(_STATIC_SQL.replace(f" WHERE {_CALL_SITES}", ""))
-def static_coverage_whole(spark, sf_dir):
-    return _static_coverage(spark, sf_dir, _t(spark, sf_dir, "lineitem"))
-
-
 @_query("""SELECT 'src/java/' || p_brand AS class, p_type AS name FROM part WHERE p_size % 2 = 0""")
 def method_listing(spark, sf_dir):
     file = F.when(F.col("p_size") % 2 == 0, "src/java/A.java").otherwise("lib/A.java")
@@ -520,6 +532,76 @@ def truth_parsing(spark, sf_dir):
     return d.select("doc_id", F.element_at(m, 1).alias("first_method"), F.size(m).cast("long").alias("n"))
 
 
+# -- Java sources -------------------------------------------------------------------
+
+
+def _java(spark, sf_dir) -> DataFrame:
+    """A source file for each part, with a field, a log call and calls, and one that all of them call."""
+    key, package = F.col("p_partkey").cast("string"), F.concat(F.lit("p"), (F.col("p_size") % 5).cast("string"))
+    code = F.concat(
+        F.lit("package org.a."), package, F.lit(";\nimport org.a.base.Helper;\n/* class Not { */\npublic class P"), key,
+        F.lit(" {\n  private Helper helper;\n  int run"), F.col("p_size").cast("string"), F.lit("(int n) {\n    LOG.info(\"part {} of \" + n);\n    helper.go(n);\n"),
+        F.when(F.col("p_size") % 2 == 0, "    stop();\n").otherwise("    // stop();\n"), F.lit("    return n;\n  }\n  void stop() { }\n}\n"),
+    )
+    made = _t(spark, sf_dir, "part").select(F.lit("parts").alias("project"), F.concat(F.lit("org/a/"), package, F.lit("/P"), key, F.lit(".java")).alias("path"), code.alias("content"))
+    helper = [("parts", "org/a/base/Helper.java", "package org.a.base;\npublic class Helper {\n  public void go(int n) { }\n}\n")]
+    return javasrc.facts(made.union(spark.createDataFrame(helper, made.schema)))
+
+
+_JAVA_SQL = "WITH j AS (SELECT p_size, 'org.a.p' || p_size % 5 || '.P' || p_partkey AS class, 'org.a.p' || p_size % 5 || '.P' || p_partkey || '#run' || p_size AS run FROM part)"
+
+
+@_query(f"""{_JAVA_SQL} SELECT run AS method_path, split_part(split_part(class, '.', 4), '#', 1) AS class_name, split_part(run, '#', 2) AS method_name FROM j
+    UNION ALL SELECT class || '#stop', split_part(class, '.', 4), 'stop' FROM j UNION ALL SELECT 'org.a.base.Helper#go', 'Helper', 'go'""")
+def java_methods(spark, sf_dir):
+    return javasrc.methods(_java(spark, sf_dir)).select("method_path", "class_name", "method_name")
+
+
+@_query(f"{_JAVA_SQL} SELECT class, run AS method, 'part {{}} of {{}}' AS template, 'info' AS level, 7::INT AS line FROM j")
+def java_log_templates(spark, sf_dir):
+    return javasrc.log_templates(_java(spark, sf_dir)).select("class", "method", "template", "level", F.col("line").cast("int").alias("line"))
+
+
+@_query(f"""{_JAVA_SQL} SELECT run AS method, 'org.a.base.Helper#go' AS callee, 8::INT AS line FROM j
+    UNION ALL SELECT run, class || '#stop', 9 FROM j WHERE p_size % 2 = 0""")
+def java_call_edges(spark, sf_dir):
+    return javasrc.call_edges(_java(spark, sf_dir)).select("method", "callee", F.col("line").cast("int").alias("line"))
+
+
+# -- the whole run ------------------------------------------------------------------
+
+
+@_query("""WITH h AS (SELECT 'HDFS-' || s_suppkey AS title, s_suppkey % 100 AS c, n.n_nationkey AS own, n.n_regionkey AS r FROM supplier JOIN nation n ON s_nationkey = n.n_nationkey),
+    a AS (SELECT title, 1.12::DOUBLE AS score, 'N' || own AS m FROM h UNION ALL SELECT title, 1.0, 'C' || c FROM h UNION ALL SELECT title, 0.555556, 'R' || r FROM h
+          UNION ALL SELECT title, 0.12, 'N' || n_nationkey FROM h JOIN nation ON n_nationkey <> own)
+    SELECT title, row_number() OVER (PARTITION BY title ORDER BY score DESC, m)::INT AS rank, 'org.apache.hadoop.' || m || '#run' AS method, score FROM a""")
+def localize(spark, sf_dir):
+    """The whole localisation of a report for each supplier, over a call tree of regions, nations and customers.
+
+    A report's log line is written by its nation's method, its trace has a customer's and
+    the region's method; all nations' methods are alike to its text.  So the nation comes
+    first (best of the logs and of the similarity), then the frames in order.
+    """
+    name = lambda kind, key: F.concat(F.lit(f"org.apache.hadoop.{kind}"), F.col(key).cast("string"))
+    nation, customer, supplier = (_t(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    r, n, c = (lambda k, t: F.concat(name(k, t), F.lit("#run")))("R", "n_regionkey"), F.concat(name("N", "n_nationkey"), F.lit("#run")), F.concat(name("C", "c_custkey"), F.lit("#run"))
+    home = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    frames = F.concat(F.lit("x.E\n at org.apache.hadoop.C"), (F.col("s_suppkey") % 100).cast("string"), F.lit(".run(C.java:1)\n at "), name("R", "n_regionkey"), F.lit(".run(R.java:2)"))
+    line = F.concat(F.lit("2012-01-01 10:00:00,123 INFO "), name("N", "n_nationkey"), F.lit(": visit "), "s_name")
+    reports = home.select(F.lit("f").alias("file"), F.concat(F.lit("HDFS-"), F.col("s_suppkey").cast("string")).alias("title"), F.lit("hadoop-1.0").alias("version"), F.concat("s_name", F.lit(" visits "), "n_name").alias("description"), F.array(line).alias("logs"), F.array(frames).alias("stack_traces"))
+    methods = nation.select(F.lit("hadoop-1.0").alias("project"), n.alias("method_path"), F.concat(F.lit("visits of "), "n_name").alias("code"))
+    calls = nation.select(r.alias("method"), n.alias("callee")).union(customer.withColumn("n_nationkey", F.col("c_nationkey")).select(n.alias("method"), c.alias("callee")))
+    calls = calls.select(F.lit("v").alias("version"), F.lit(0).alias("class_ord"), F.lit(0).alias("method_ord"), F.lit(0).alias("call_ord"), "method", "callee", F.lit(1).alias("line"))
+    entries = calls.select(F.col("callee").alias("method")).union(calls.select("method")).distinct()
+    entries = entries.select(F.lit("v").alias("version"), F.lit(0).alias("class_ord"), F.lit(0).alias("method_ord"), F.substring_index("method", "#", 1).alias("class"), "method", F.lit("").alias("file"), F.lit(0).alias("line"))
+    templates = nation.select(name("N", "n_nationkey").alias("class"), n.alias("method"), F.lit("visit {}").alias("template"), F.lit("info").alias("level"), F.lit(0).alias("class_ord"), F.lit(0).alias("method_ord"))
+    covered = nation.select(F.lit("v").alias("version"), F.concat(name("N", "n_nationkey"), F.lit(".run(int)")).alias("method_sig"), F.lit(1.0).alias("coverage"), F.array(F.lit("t")).alias("covering_tests"))
+    from .localize import Inputs
+    from .localize import localize as run
+
+    return run(Inputs(reports, methods, calls, entries, templates, covered)).withColumn("score", F.round("score", 6))
+
+
 # -- documents ----------------------------------------------------------------------
 
 

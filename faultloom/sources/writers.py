@@ -17,12 +17,19 @@ def parquet_by(df: DataFrame, path: str, by: str, mode: str = "append") -> None:
 
 
 def score_lines(df: DataFrame, path: str, digits: int | None = None, mode: str = "error") -> None:
-    """``method: score`` lines per title, best first."""
-    score = F.col("score") if digits is None else F.round("score", digits)
+    """``method: score`` lines per title, best first; with ``digits`` that many decimals, zeros too."""
+    score = F.col("score") if digits is None else F.format_string(f"%.{digits}f", F.col("score").cast("double"))
     lines = df.repartition("title").sortWithinPartitions("title", F.desc("score"), "method").select("title", F.concat_ws(": ", "method", score.cast("string")).alias("value"))
     lines.write.mode(mode).partitionBy("title").text(path)
 
 
+def total_scores(ranking: DataFrame, path: str, top: int = 5, mode: str = "error") -> None:
+    """``title`` and the ``top`` methods of its ranking, best first, as one line of JSON a title."""
+    best = F.array_sort(F.collect_list(F.struct("rank", "method", "score")))
+    rows = ranking.filter(F.col("rank") <= top).groupBy("title").agg(best.alias("methods"))
+    rows.select("title", F.transform("methods", lambda m: F.struct(m["method"].alias("method"), m["score"].alias("score"))).alias("methods")).write.mode(mode).json(path)
+
+
 def missing_only(inputs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Inputs whose result does not exist yet."""
     return inputs.join(done.select(*keys).distinct(), keys, "left_anti")

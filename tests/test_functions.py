@@ -79,3 +79,20 @@ def test_log_lines_match_known_layouts():
     assert rule.match("INFO [main] 2012-01-01 10:00:00,123 A.java (line 3) text")
     assert not rule.match("plain text about INFO")
     assert re.match(logs.IS_STACK, "  at a.b.C.d(C.java:1)") and re.match(logs.IS_STACK, "... 12 more")
+
+
+def test_every_layout_and_shape_has_its_line():
+    stamp, rule, stack = "2012-01-01 10:00:00,123", re.compile(logs.IS_LOG), re.compile(logs.IS_STACK)
+    lines = {
+        "level class": "WARN a.b.C: text", "level thread stamp": f"INFO [main] {stamp} text", "- level thread": " - INFO [main:Q@1] text", "stamp level class": f"{stamp} INFO a.b.C: text",
+        "stamp level thread": f"12/01/01 10:00:00,123 ERROR [main] text", "stamp - level thread": f"{stamp} - INFO [main:Q@1] - text", "stamp thread - level thread -": f"{stamp} [id:1] - INFO [main:Q@1] - text",
+        "stamp | field | level |": f"{stamp}|main|INFO|text", "thread stamp level": f"[junit] {stamp} DEBUG text", "file stamp - level": f"zoo.log.1-host:{stamp} - INFO text", "date owner level": "Jan 02, 2012 10:00:00 AM a.b.C INFO text",
+    }
+    assert set(lines) == set(logs.LAYOUTS)
+    for layout, line in lines.items():
+        assert re.match(r"(?i)\s*" + logs._layout(layout), line) and rule.match(line), layout
+    for line in ("INFORMATION a.b.C: text", f"{stamp} text INFO", "text", "the class a.b.C: ERROR"):
+        assert not rule.match(line), line
+    shapes = {"frame": "\tat a.B.c(B.java:1)", "exception": "a.QException: text", "cause": "Caused by: a.b.QException", "thread": 'Exception in thread "main" a.QException: x', "left out": "... 3 more", "archive": " ~[a.jar:1]"}
+    assert set(shapes) == set(logs.STACK_SHAPES) and all(map(stack.match, shapes.values()))
+    assert not any(map(stack.match, ("at last", "three more", "QException thrown here", "Caused by nothing")))

@@ -83,7 +83,7 @@ def test_coverage_csv_and_writers(spark, tmp_path):
     assert (row["version"], row["methodSig"], row["internalTotal"]) == ("zk-1", "a.m(B, C)", 2)
     scores = spark.createDataFrame([("R-1", "m", 0.123456), ("R-1", "n", 0.9)], "title string, method string, score double")
     writers.score_lines(scores, str(tmp_path / "out"), 4)
-    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["n: 0.9", "m: 0.1235"]
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["n: 0.9000", "m: 0.1235"]
 
 
 def test_outline(spark):
