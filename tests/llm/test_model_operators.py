@@ -292,6 +292,12 @@ def test_suffix_dedup_of_runs_and_shared_passages(spark, hot):
     assert {r["doc_id"]: r["kept_text"] for r in suffix_dedup.suffix_dedup(df, hot=hot).collect()} == want
 
 
+def test_suffix_dedup_hard_rows(spark, hard):
+    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(hard.filter("doc_id < 7")).collect()}
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"]) for i, r in got.items()} == {i: (len(t or ""), 150_000 if i == 5 else 0, int(i == 5)) for i, t in HARD if i < 7}
+    assert got[2]["kept_sha256"] == got[3]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_suffix_dedup_repeated_ids(spark):
     rows = [(1, "x" * 150 + "y" * 100), (1, "x" * 150 + "y" * 100), (2, "short")]
     got = sorted((r["doc_id"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from faultloom.llm import packing
@@ -157,3 +158,39 @@ def test_run_is_its_stages(spark):
         one = stage(spark, one, SF)
     key = lambda df: Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in df.collect())
     assert rows.count() and key(one) == key(corpus_pipeline.run(spark, SF))
+
+
+def hard(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows and columns of clashing names."""
+    line = "the quick brown fox reads one more book about the old town"
+    rows = [(i % 7 or None, f"{line}\nand page {i % 5} of it, in plain words", "en", ["s", "t", None][i % 3], 1) for i in range(30)]
+    rows += [(50, None, None, None, None), (None, None, None, None, None), (51, "", "en", "s", 0), (52, "short", None, "s", 5), (53, "long words here " * 40_000, "en", "s", None)]
+    rows += [(54, "!!! 123", "de", "t", 7)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("id", "size", "hash", "bands", "__lines", "row", "copies", "shard", "length", "site", "score", "held_out", "lang_pred"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_hard_rows_and_empty_tables(spark, name):
+    stage, docs = dict(corpus_pipeline.STAGES)[name], hard(spark)
+    rows = rows_of(docs)
+    got = stage(spark, docs, SF)
+    if name == "packing":
+        starts = Counter(r["doc_id"] for r in got.filter("start = 0").collect())
+        assert starts == Counter(r[0] for r in rows)
+    else:
+        assert got.columns == list(COLUMNS)
+        out = rows_of(got)
+        if name == "language_id":
+            assert Counter(map(repr, out)) == Counter(repr(r) for r in rows if r[1] and re.search(r"[^\W\d_]", r[1]))
+        elif name == "line_dedup":
+            assert sorted(map(repr, ((r[0], r[1] is None) for r in out))) == sorted(map(repr, ((r[0], r[1] is None) for r in rows)))
+        elif name == "near_dedup":
+            # rows that repeat an id are one class; null ids stay, each
+            assert sum(r[0] is None for r in out) == sum(r[0] is None for r in rows) and len({r[0] for r in out if r[0]}) == sum(r[0] is not None for r in out)
+            assert {r[0] for r in out} >= {1, 50, 51, 52, 53, 54}
+        else:
+            assert set(map(repr, out)) <= set(map(repr, rows))
+    assert stage(spark, docs.limit(0), SF).count() == 0
