@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import logs, names, text
@@ -101,8 +101,8 @@ def vsm_topk(spark, sf_dir):
     """Flagship: the five documents most similar to each passage, scores normalised."""
     best = vsm.method_similarity(_similar(spark, sf_dir), F.col("segment"))
     every = _t(spark, sf_dir, "documents").count()
-    found = best.groupBy("report").agg(F.count(F.lit(1)).alias("found"))
-    scaled = scoring.nonzero(scoring.minmax(best.join(found, "report"), ["report"], absent=F.col("found") < every))
+    found = best.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("report")))
+    scaled = scoring.nonzero(scoring.minmax(found, ["report"], absent=F.col("found") < every))
     top = scoring.ranked(scaled, ["report"], top=5)
     return top.select(F.col("report").alias("item_id"), "rank", F.col("method").alias("doc_id"), F.round("score", 6).alias("score"))
 
