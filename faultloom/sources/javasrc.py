@@ -227,11 +227,10 @@ def facts(sources: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FACTS.split(", ")]
         for b in batches:
-            for project, path, content in zip(b["project"], b["path"], b["content"], strict=True):
-                out = pd.DataFrame(scan(content), columns=names)
-                out.insert(0, "path", path)
-                out.insert(0, "project", project)
-                yield out
+            for at in range(0, len(b), 256):
+                some = b.iloc[at : at + 256]
+                rows = [(project, path, *fact) for project, path, content in zip(some["project"], some["path"], some["content"], strict=True) for fact in scan(content)]
+                yield pd.DataFrame(rows, columns=["project", "path", *names])
 
     return sources.select("project", "path", "content").mapInPandas(run, f"project string, path string, {FACTS}")
 
@@ -268,16 +267,17 @@ def symbols(found: DataFrame) -> dict[str, DataFrame]:
 
 def call_edges(found: DataFrame) -> DataFrame:
     """``method, callee, line`` of all calls, resolved to full names, each callee once."""
+    from ..operators.graph import cut
     from ..operators.resolve import resolve_qualifiers, resolve_types
 
-    s = symbols(found)
+    s = symbols(cut(found))  # read for every table: sources are scanned once
     simple = (
         s["calls"].select("class", "package", F.element_at(F.split("qualifier", r"\."), 1).alias("name"))
         .union(s["fields"].join(found.select("class", "package").distinct(), "class").select("class", "package", "type"))
         .union(s["variables"].select(F.substring_index("scope", "#", 1).alias("class"), F.col("type").alias("name")).join(found.select("class", "package").distinct(), "class").select("class", "package", "name"))
         .filter("name <> ''").distinct()
     )
-    types = resolve_types(simple, s["inner"], s["declared"], s["imports"], s["project"]).select("class", "name", "resolved")
+    types = cut(resolve_types(simple, s["inner"], s["declared"], s["imports"], s["project"]).select("class", "name", "resolved"))
     full = lambda df, on: df.join(types.withColumnRenamed("name", "type"), [*on, "type"]).drop("type").withColumnRenamed("resolved", "type")
     variables = full(s["variables"].withColumn("class", F.substring_index("scope", "#", 1)), ["class"]).groupBy("scope", "name").agg(F.max("type").alias("type"))
     fields = full(s["fields"], ["class"]).groupBy("class", "name").agg(F.max("type").alias("type"))
