@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,24 +21,37 @@ def match_templates(events: DataFrame, templates: DataFrame) -> DataFrame:
     template, level, class_ord, method_ord``.  Templates of the same simple class come
     first; events they leave over are matched against all other classes, where a
     template needs two characters besides its placeholders.  Events that nothing fits
-    are left out.  The first pass is an equi-join.  The second, a theta-join, hashes on
-    the level, which must agree unless unknown.
+    are left out.
+
+    The first pass is an equi-join on the class.  The second is one on the first word,
+    which a template fixes if a blank follows it before any placeholder, and on the
+    level unless it is unknown.  Templates that fix no word are hashed by level; only
+    they are compared with all events of unknown level.
     """
     simple = lambda c: names.simple_key(F.col(c))
-    ev = events.withColumn("key", simple("class")).withColumn("content", F.trim("content"))
+    ev = events.select("event_id", simple("class").alias("key"), "type", F.lower("type").alias("at_level"), F.trim("content").alias("content"))
+    ev = ev.withColumn("first", F.substring_index("content", " ", 1))
+    head = F.substring_index(F.trim("template"), "{}", 1)
     tp = (
         templates.withColumn("template", F.coalesce("template", F.lit("{}"))).filter(F.length("template") > 0)
-        .withColumn("tkey", simple("class")).withColumn("like", logs.template_like(F.col("template")))
-        .select("tkey", "method", "template", F.lower("level").alias("level"), "like", "class_ord", "method_ord")
+        .select(
+            simple("class").alias("tkey"), "method", "template", F.lower("level").alias("level"), logs.template_like(F.col("template")).alias("like"),
+            F.when(F.contains(head, F.lit(" ")), F.substring_index(head, " ", 1)).alias("word"), "class_ord", "method_ord",
+        )
     )
     fits = F.expr("content LIKE like")
     last = F.max_by("method", F.struct("class_ord", "method_ord")).alias("method")
-    own = ev.join(tp, (ev["key"] == tp["tkey"]) & _level_fits() & fits).groupBy("event_id").agg(last)
+    own = ev.join(tp, (F.col("key") == F.col("tkey")) & _level_fits() & fits).groupBy("event_id").agg(last)
     over = ev.join(own, "event_id", "left_anti")
     solid = tp.filter(F.length(F.trim(F.replace("template", F.lit("{}"), F.lit("")))) >= 2)
-    known = over.filter("type <> 'UNKNOWN'").withColumn("l", F.lower("type"))
-    by_level = known.join(solid, (known["l"] == solid["level"]) & (known["key"] != solid["tkey"]) & fits)
-    unknown = over.filter("type = 'UNKNOWN'")
-    by_text = unknown.join(solid, (unknown["key"] != solid["tkey"]) & fits)
-    other = by_level.select("event_id", "method", "class_ord", "method_ord").unionByName(by_text.select("event_id", "method", "class_ord", "method_ord"))
-    return events.join(own.unionByName(other.groupBy("event_id").agg(last)), "event_id")
+    known, unknown = over.filter("type <> 'UNKNOWN'"), over.filter("type = 'UNKNOWN'")
+    worded, loose = solid.filter("word IS NOT NULL"), solid.filter("word IS NULL")
+    same_word, same_level, elsewhere = F.col("first") == F.col("word"), F.col("at_level") == F.col("level"), F.col("key") != F.col("tkey")
+    passes = (
+        known.join(worded, same_word & same_level & elsewhere & fits),
+        unknown.join(worded, same_word & elsewhere & fits),
+        known.join(loose, same_level & elsewhere & fits),
+        unknown.join(loose, elsewhere & fits),
+    )
+    found = functools.reduce(DataFrame.union, (p.select("event_id", "method", "class_ord", "method_ord") for p in passes))
+    return events.join(own.union(found.groupBy("event_id").agg(last)), "event_id")

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 
 from hypothesis import given, settings
@@ -20,6 +21,21 @@ def test_tokens_split_identifiers(spark):
     assert one(spark, text.tokens(F.col("t")), t=None) == []
 
 
+def test_tokens_are_those_of_single_words(spark):
+    def by_word(t):
+        words = [w for w in re.findall(r"\w+", t) if w.lower() not in text.KEYWORDS["java"]]
+        parts = [c.lower() for w in words for p in w.split("_") for c in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", p)]
+        return [p for p in parts if p not in text.STOP_WORDS]
+
+    rng = random.Random(3)
+    bits = ["for", "For", "brea\u212a", "cla\u017fs", "the", "The", "HTTPServer", "été", "x1y", "_", "__", " ", "  ", ".", "ñ", "\u0301", "9", "newFoo", "new", "\n", "İf", "if"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in made], "t string").select("t", text.tokens(F.col("t")).alias("d"), text.tokens(F.col("t"), distinct=False).alias("a"))
+    for r in df.collect():
+        want = by_word(unicodedata.normalize("NFC", r["t"]) if False else r["t"].replace("\u0301", "é"))
+        assert r["a"] == want and r["d"] == list(dict.fromkeys(want)), r["t"]
+
+
 def test_segments(spark):
     df = spark.createDataFrame([("a", [str(i) for i in range(1700)]), ("b", [])], "m string, tokens array<string>")
     rows = text.segments(df).orderBy("segment_no").collect()

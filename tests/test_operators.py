@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -77,6 +78,28 @@ def test_templates(spark):
     assert {r["event_id"]: r["method"] for r in matching.match_templates(ev, tp).collect()} == {1: "p.A#n", 2: "p.B#k", 3: "p.A#n"}
 
 
+def test_templates_against_all_pairs(spark):
+    rng = random.Random(5)
+    line = lambda bits, n: "".join(rng.choice(bits) for _ in range(rng.randint(0, n)))
+    tp = [(f"p.{rng.choice('ABC')}", f"m{i}", rng.choice([None, line(["{}", " ", "open", "at", "%", "_", "x ", "\\"], 5)]), rng.choice(["info", "WARN"]), i // 5, i % 5) for i in range(60)]
+    ev = [(i, f"q.{rng.choice('ABZ')}", rng.choice(["INFO", "warn", "UNKNOWN", "ERROR"]), line([" ", "open", "at", "%", "_", "x ", "y", "\\"], 6)) for i in range(300)]
+    want = {}
+    for key, owner, kind, content in ev:
+        fits = []
+        for of, method, template, level, *at in tp:
+            template = "{}" if template is None else template
+            pattern = ".*".join(map(re.escape, template.strip(" ").split("{}"))) + ".*"
+            if template and kind in ("UNKNOWN", level.upper(), level.lower()) and re.fullmatch(pattern, content.strip(" "), re.S):
+                own = of[-1] == owner[-1]
+                if own or len(template.replace("{}", "").strip(" ")) >= 2:
+                    fits.append((own, at, method))
+        if fits:
+            want[key] = max(fits)[2]
+    events = spark.createDataFrame(ev, "event_id int, class string, type string, content string")
+    templates = spark.createDataFrame(tp, "class string, method string, template string, level string, class_ord int, method_ord int")
+    assert {r["event_id"]: r["method"] for r in matching.match_templates(events, templates).collect()} == want
+
+
 def test_islands_against_state_machine(spark):
     rng = random.Random(3)
     docs = {d: [rng.choice("LSCx") for _ in range(rng.randint(0, 15))] for d in range(150)}
