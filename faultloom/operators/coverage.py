@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -22,16 +24,20 @@ LAYOUTS = {
 }
 
 
-def file_kind(callables: DataFrame, layout: str) -> DataFrame:
-    """``callables`` with ``is_main`` and ``is_test`` by their files."""
-    def any_like(patterns):
+def file_kind(callables: DataFrame, layout: str | Column) -> DataFrame:
+    """``callables`` with ``is_main`` and ``is_test`` by their files and layout.
+
+    ``layout`` names one for all rows, or is a column; rows of no known layout are neither.
+    """
+    layout = F.lit(layout) if isinstance(layout, str) else layout
+
+    def placed(which: int) -> Column:
         out = F.lit(False)
-        for p in patterns:
-            out = out | F.like("file", F.lit(p))
-        return out
+        for name, patterns in LAYOUTS.items():
+            out = out | ((layout == name) & functools.reduce(Column.__or__, (F.like("file", F.lit(p)) for p in patterns[which])))
+        return F.coalesce(out, F.lit(False))
 
-    main, test = LAYOUTS[layout]
-    return callables.withColumn("is_main", any_like(main)).withColumn("is_test", any_like(test))
+    return callables.withColumns({"is_main": placed(0), "is_test": placed(1)})
 
 
 def method_listing(callables: DataFrame, pattern: str = "src/java/%") -> DataFrame:
@@ -97,3 +103,8 @@ def inverse_coverage(methods: DataFrame, coverage: DataFrame, smoothing: float =
     total, n = 1 + F.sum("tests").over(w), F.count(F.lit(1)).over(w)
     score = 1 - (F.col("tests") + smoothing) / (total + smoothing * n)
     return counted.select("title", "method", score.alias("score")).filter("score > 0")
+
+
+def ordered(raw: DataFrame) -> DataFrame:
+    """Raw coverage in the order in which it is listed."""
+    return raw.orderBy("filePath", "methodSig", "coveringTest")

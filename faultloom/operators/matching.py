@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +21,19 @@ def match_templates(events: DataFrame, templates: DataFrame) -> DataFrame:
     template needs two characters besides its placeholders.  Events that nothing fits
     are left out.
 
-    The first pass is an equi-join on the class.  The second is one on the first word,
-    which a template fixes if a blank follows it before any placeholder, and on the
-    level unless it is unknown.  Templates that fix no word are hashed by level; only
-    they are compared with all events of unknown level.
+    The first pass is an equi-join on the class.  The second is one on the level, which all
+    templates have that of unknown events, and on the first word, which a template fixes
+    if a blank follows it before any placeholder; those that fix none have no word, as
+    has a second row of each event.
     """
     simple = lambda c: names.simple_key(F.col(c))
-    ev = events.select("event_id", simple("class").alias("key"), "type", F.lower("type").alias("at_level"), F.trim("content").alias("content"))
-    ev = ev.withColumn("first", F.substring_index("content", " ", 1))
+    ev = events.select("event_id", simple("class").alias("key"), "type", F.trim("content").alias("content"))
     head = F.substring_index(F.trim("template"), "{}", 1)
     tp = (
         templates.withColumn("template", F.coalesce("template", F.lit("{}"))).filter(F.length("template") > 0)
         .select(
             simple("class").alias("tkey"), "method", "template", F.lower("level").alias("level"), logs.template_like(F.col("template")).alias("like"),
-            F.when(F.contains(head, F.lit(" ")), F.substring_index(head, " ", 1)).alias("word"), "class_ord", "method_ord",
+            F.when(F.contains(head, F.lit(" ")), F.substring_index(head, " ", 1)).otherwise("").alias("word"), "class_ord", "method_ord",
         )
     )
     fits = F.expr("content LIKE like")
@@ -44,14 +41,11 @@ def match_templates(events: DataFrame, templates: DataFrame) -> DataFrame:
     own = ev.join(tp, (F.col("key") == F.col("tkey")) & _level_fits() & fits).groupBy("event_id").agg(last)
     over = ev.join(own, "event_id", "left_anti")
     solid = tp.filter(F.length(F.trim(F.replace("template", F.lit("{}"), F.lit("")))) >= 2)
-    known, unknown = over.filter("type <> 'UNKNOWN'"), over.filter("type = 'UNKNOWN'")
-    worded, loose = solid.filter("word IS NOT NULL"), solid.filter("word IS NULL")
-    same_word, same_level, elsewhere = F.col("first") == F.col("word"), F.col("at_level") == F.col("level"), F.col("key") != F.col("tkey")
-    passes = (
-        known.join(worded, same_word & same_level & elsewhere & fits),
-        unknown.join(worded, same_word & elsewhere & fits),
-        known.join(loose, same_level & elsewhere & fits),
-        unknown.join(loose, elsewhere & fits),
+    over = over.select(
+        "event_id", "key", "content", F.when(F.col("type") == "UNKNOWN", F.col("type")).otherwise(F.lower("type")).alias("at_level"),
+        F.explode(F.array_distinct(F.array(F.substring_index("content", " ", 1), F.lit("")))).alias("at_word"),
     )
-    found = functools.reduce(DataFrame.union, (p.select("event_id", "method", "class_ord", "method_ord") for p in passes))
-    return events.join(own.union(found.groupBy("event_id").agg(last)), "event_id")
+    solid = solid.withColumn("level", F.explode(F.array("level", F.lit("UNKNOWN"))))
+    on = (F.col("at_level") == F.col("level")) & (F.col("at_word") == F.col("word"))
+    found = over.join(solid, on & (F.col("key") != F.col("tkey")) & fits).groupBy("event_id").agg(last)
+    return events.join(own.union(found), "event_id")

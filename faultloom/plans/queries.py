@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import logs, names, text
-from ..operators import coverage, evaluate, graph, matching, reports, resolve, scoring, vsm
+from ..operators import coverage, evaluate, graph, listing, matching, reports, resolve, scoring, vsm
 from ..sources import javasrc, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,14 +48,18 @@ def _listed(words) -> str:
 
 # -- text ---------------------------------------------------------------------------
 
-_TOKENS_SQL = rf"""
+def _tokens_sql(language: str) -> str:
+    return rf"""
     tok AS (
       SELECT key, list_filter(list_transform(flatten(list_transform(flatten(list_transform(
-               list_filter(regexp_extract_all(coalesce(body, ''), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: NOT list_contains({_listed(text.KEYWORDS["java"])}, lower(w))),
+               list_filter(regexp_extract_all(coalesce(body, ''), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda w: NOT list_contains({_listed(text.KEYWORDS[language])}, lower(w))),
                lambda w: string_split(w, '_'))),
                lambda w: regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+'))),
                lambda w: lower(w)), lambda w: NOT list_contains({_listed(text.STOP_WORDS)}, w)) AS tokens
       FROM src)"""
+
+
+_TOKENS_SQL = _tokens_sql("java")
 _SETS_SQL = f"list_distinct(list_filter(tokens, lambda w: length(w) >= 2 AND NOT list_contains({_listed(text.SIMILARITY_STOP_WORDS)}, w)))"
 
 
@@ -65,6 +69,19 @@ def tokenize_identifiers(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
+_BY_LANGUAGE_SQL = " UNION ALL ".join(
+    f"SELECT * FROM (WITH src AS (SELECT item_id AS key, text AS body FROM benchmark), {_tokens_sql(n)} SELECT key AS item_id, '{n}' AS language, array_to_string(tokens, ' ') AS tokens FROM tok)"
+    for n in text.KEYWORDS
+)
+
+
+@_query(_BY_LANGUAGE_SQL)
+def tokens_by_language(spark, sf_dir):
+    """Passages as code of each language, whose keywords go."""
+    made = F.array(*(F.struct(F.lit(n).alias("language"), F.array_join(text.tokens(F.col("text"), n, distinct=False), " ").alias("tokens")) for n in text.KEYWORDS))
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.explode(made).alias("x")).select("item_id", "x.*")
+
+
 @_query(f"""WITH src AS (SELECT doc_id AS key, text AS body FROM documents), {_TOKENS_SQL},
     n AS (SELECT key, tokens, unnest(range(0, (len(tokens) + 799) // 800)) AS k FROM tok)
     SELECT key AS doc_id, k::INT AS segment_no, len(tokens[k * 800 + 1 : k * 800 + 800]) AS n_tokens, tokens[k * 800 + 1] AS first_token,
@@ -274,6 +291,29 @@ def line_recognition(spark, sf_dir):
     return e.select("event_id", logs.is_log_line(line).alias("is_log"), logs.is_stack_line(stack).alias("is_stack"))
 
 
+# A line of each layout and a trace line of each shape, then lines that are none.
+_LOG_LINES = [
+    "INFO a.b.C: x", "INFO [main] 2012-01-01 10:00:00,123 x", "- INFO [main] x", "2012/01/01 10:00:00.123 INFO a.b.C: x",
+    "2012-01-01 10:00:00,123 WARN [main] x", "2012-01-01 10:00:00,123 - DEBUG [main] x", "12-01-01 10:00:00,123 [main] - ERROR [x] - y",
+    "2012-01-01 10:00:00,123 | x | INFO | y", "[main] 2012-01-01 10:00:00,123 INFO x", "zk.log.1: 2012-01-01 10:00:00,123 - INFO x",
+    "Jan 1, 2012 10:00:00 AM a.b.C SEVERE: x", "words about INFO", "2012-01-01 10:00:00,123 words", "INFORMED a.b.C: x",
+]
+_TRACE_LINES = [
+    " at a.b.C.d(C.java:1)", "io.SomeException: x", "Caused by: a.SomeException: y", 'Exception in thread "main" a.SomeException', "... 12 more",
+    "~[some.jar:1]", "words at noon", "Caused by rain",
+]
+
+
+@_query("SELECT event_id, event_id % 14 AS layout, event_id % 14 < 11 AS is_log, event_id % 8 AS shape, event_id % 8 < 6 AS is_stack FROM events")
+def line_layouts(spark, sf_dir):
+    layout, shape = F.col("event_id") % len(_LOG_LINES), F.col("event_id") % len(_TRACE_LINES)
+    pick = lambda lines, k: F.get(F.array(*map(F.lit, lines)), k.cast("int"))
+    return _t(spark, sf_dir, "events").select(
+        "event_id", layout.alias("layout"), logs.is_log_line(F.concat(pick(_LOG_LINES, layout), F.lit(" "), "event_type")).alias("is_log"),
+        shape.alias("shape"), logs.is_stack_line(pick(_TRACE_LINES, shape)).alias("is_stack"),
+    )
+
+
 @_query("""WITH f AS (SELECT p_partkey, p_partkey % 5 AS k, 'org.apache.' || CASE WHEN p_partkey % 5 = 4 THEN 'thrift' ELSE 'hadoop' END || '.B' || p_size || CASE WHEN p_partkey % 5 = 1 THEN '$1' WHEN p_partkey % 5 = 2 THEN '$In' ELSE '' END AS c FROM part)
     SELECT p_partkey, c || '#run' || p_partkey AS method FROM f WHERE k NOT IN (1, 3)""")
 def frame_extract(spark, sf_dir):
@@ -419,6 +459,30 @@ def stack_chain_edges(spark, sf_dir):
     return graph.chain_edges(chains)
 
 
+@_query("SELECT user_id, to_json(list(event_type ORDER BY ts, event_id))::VARCHAR AS path FROM events GROUP BY 1")
+def path_text(spark, sf_dir):
+    chain = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    chains = _t(spark, sf_dir, "events").groupBy("user_id").agg(chain.alias("x"))
+    return chains.select("user_id", listing.path_text(F.transform("x", lambda e: e["event_type"])).alias("path"))
+
+
+@_query("""WITH o AS (SELECT o_custkey AS m, string_agg('o' || o_orderkey, ',' ORDER BY o_orderkey) AS calls, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F') AS logs FROM orders GROUP BY 1)
+    SELECT 'N' || c_nationkey AS class, count(*) AS n_methods, string_agg('c' || c_custkey || '(' || coalesce(calls, '') || '|' || coalesce(logs, '') || ')', ';' ORDER BY c_custkey) AS methods
+    FROM customer LEFT JOIN o ON m = c_custkey GROUP BY 1""")
+def class_listing(spark, sf_dir):
+    """Nations as classes, customers as their methods, orders as calls, and as log statements if they are finished."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    place = lambda c: [F.lit("v").alias("version"), F.col("c_nationkey").alias("class_ord"), F.col(c).alias("method_ord")]
+    customer, orders = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    methods = customer.select(*place("c_custkey"), name("N", "c_nationkey").alias("class"), name("c", "c_custkey").alias("method"), F.lit("N.java").alias("file"), F.lit(1).alias("line"))
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    calls = placed.select(*place("c_custkey"), F.col("o_orderkey").alias("call_ord"), name("o", "o_orderkey").alias("callee"), F.lit(1).alias("line"))
+    written = placed.filter("o_orderstatus = 'F'").select(*place("c_custkey"), F.col("o_orderkey").alias("log_ord"), F.col("o_orderpriority").alias("template"), F.lit("info").alias("level"), F.lit(1).alias("line"))
+    joined = lambda x, c: F.coalesce(F.array_join(F.transform(x, lambda y: y[c]), ","), F.lit(""))
+    one = lambda m: F.concat(m["method"], F.lit("("), joined(m["calls"], "callee"), F.lit("|"), joined(m["logs"], "template"), F.lit(")"))
+    return listing.class_listing(methods, calls, written).select("class", F.size("methods").cast("long").alias("n_methods"), F.array_join(F.transform("methods", one), ";").alias("methods"))
+
+
 # -- coverage -----------------------------------------------------------------------
 
 
@@ -478,6 +542,32 @@ def static_coverage(spark, sf_dir):
     return coverage.coverage_summary(coverage.file_kind(callables, "zookeeper"), sites, edges)
 
 
+_VERSIONS = [
+    "cassandra-1.2.0", "hadoop-0.21.0", "hadoop-0.22.0", "hadoop-0.23.1", "hadoop-1.0.3", "hadoop-2.6.0", "hbase-0.90.1", "hbase-0.92.0", "hbase-0.94.2",
+    "hbase-0.95.0", "hbase-0.96.0", "hbase-0.98.5", "zookeeper-3.4.0",
+]
+_PLACES = [
+    "src/java/A.java", "test/unit/A.java", "common/src/java/A.java", "mapred/src/test/A.java", "src/main/java/A.java", "src/test/java/A.java", "core/src/main/java/A.java",
+    "core/src/test/java/A.java", "src/java/main/A.java", "src/java/generated/A.java", "src/java/systest/A.java", "docs/A.java",
+]
+
+
+@_query(f"""WITH f AS (SELECT p_partkey, {_listed(_VERSIONS)}[p_partkey % 13 + 1] AS version, {_listed(_PLACES)}[p_partkey // 13 % 12 + 1] AS file FROM part),
+    l AS (SELECT *, CASE WHEN version LIKE 'cassandra-%' THEN 'cassandra' WHEN version LIKE 'hadoop-0.21%' THEN 'hadoop021' WHEN regexp_matches(version, '^hadoop-(0\\.23|1\\.|2\\.)') THEN 'hadoop023'
+        WHEN regexp_matches(version, '^hbase-0\\.9[024]') THEN 'hbase90' WHEN regexp_matches(version, '^hbase-0\\.9[568]') THEN 'hbase95' ELSE 'zookeeper' END AS layout FROM f)
+    SELECT p_partkey, version, file, layout,
+        CASE layout WHEN 'cassandra' THEN starts_with(file, 'src/java/') WHEN 'hadoop021' THEN regexp_matches(file, '^(common|hdfs|mapred)/src/java/') WHEN 'hbase90' THEN starts_with(file, 'src/main/java/')
+            WHEN 'zookeeper' THEN regexp_matches(file, '^src/java/(main|generated)/') ELSE contains(file, '/src/main/java/') END AS is_main,
+        CASE layout WHEN 'cassandra' THEN starts_with(file, 'test/') WHEN 'hadoop021' THEN regexp_matches(file, '^(common|hdfs|mapred)/src/test/') WHEN 'hbase90' THEN starts_with(file, 'src/test/java/')
+            WHEN 'zookeeper' THEN regexp_matches(file, '^src/java/(test|systest)/') ELSE contains(file, '/src/test/java/') END AS is_test FROM l""")
+def source_layouts(spark, sf_dir):
+    """Files of all six layouts, the layout by the version, as main or test code."""
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), k.cast("int"))
+    key = F.col("p_partkey")
+    files = _t(spark, sf_dir, "part").select("p_partkey", pick(_VERSIONS, key % 13).alias("version"), pick(_PLACES, F.floor(key / 13) % 12).alias("file"))
+    return coverage.file_kind(files.withColumn("layout", names.layout_of(F.col("version"))), F.col("layout"))
+
+
 @_query("""SELECT 'src/java/' || p_brand AS class, p_type AS name FROM part WHERE p_size % 2 = 0""")
 def method_listing(spark, sf_dir):
     file = F.when(F.col("p_size") % 2 == 0, "src/java/A.java").otherwise("lib/A.java")
@@ -522,7 +612,19 @@ def prioritized_resolution(spark, sf_dir):
 @_query("SELECT DISTINCT p_brand || '-' || p_size AS version FROM part WHERE p_brand || '-' || p_size NOT IN (SELECT p_brand || '-' || p_size FROM part WHERE p_partkey % 3 = 0)")
 def version_diff(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("version"), "p_partkey")
-    return p.select("version").distinct().join(p.filter("p_partkey % 3 = 0").select("version").distinct(), "version", "left_anti")
+    return listing.missing_versions(p, p.filter("p_partkey % 3 = 0"))
+
+
+@_query("SELECT o_orderpriority AS version, count(*) AS reports FROM orders GROUP BY 1")
+def version_listing(spark, sf_dir):
+    return listing.versions(_t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("version")))
+
+
+@_query("SELECT o_orderkey, version FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate::DATE::VARCHAR) AS version FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
+def report_versions(spark, sf_dir):
+    reports = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("title"), F.lit(None).cast("string").alias("version"))
+    listed = _t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("title"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("version"))
+    return listing.with_versions(reports, listed).select("o_orderkey", "version")
 
 
 @_query("SELECT l.doc_id, list_filter(list_transform(string_split(d.source || ', ,' || d.lang || ' ,', ','), lambda x: trim(x)), lambda x: x <> '')[1] AS first_method, 2::BIGINT AS n FROM labels l JOIN documents d USING (doc_id)")
@@ -605,7 +707,19 @@ def localize(spark, sf_dir):
 # -- documents ----------------------------------------------------------------------
 
 
-@_query()
+@_query(r"""WITH c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g') AS h FROM pages),
+    l AS (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS l FROM c), t AS (SELECT page_id, unnest(l) AS tok, unnest(range(len(l))) AS pos FROM l),
+    k AS (SELECT *, lower(regexp_extract(tok, '(?i)^<(h[1-6]|p)(\s[^>]*)?>$', 1)) AS opens FROM t), b AS (SELECT *, count(*) FILTER (opens <> '') OVER (PARTITION BY page_id ORDER BY pos) AS blk FROM k),
+    n AS (SELECT *, first_value(opens) OVER (PARTITION BY page_id, blk ORDER BY pos) AS tag FROM b WHERE blk > 0),
+    e AS (SELECT *, count(*) FILTER (lower(tok) = '</' || tag || '>') OVER (PARTITION BY page_id, blk ORDER BY pos) AS shut,
+        replace(replace(replace(replace(replace(tok, '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&') AS plain FROM n),
+    x AS (SELECT page_id, blk, tag, trim(regexp_replace(coalesce(string_agg(trim(plain, chr(160) || chr(9) || chr(10) || chr(13) || ' '), '' ORDER BY pos) FILTER (tok NOT LIKE '<%' AND shut = 0), ''), '[\s\x{a0}]+', ' ', 'g')) AS text FROM e GROUP BY ALL),
+    p AS (SELECT page_id, blk, text, (row_number() OVER (PARTITION BY page_id ORDER BY blk) - 1)::INT AS para_no FROM x WHERE tag = 'p'),
+    h AS (SELECT page_id, blk, tag, text FROM x WHERE tag <> 'p'),
+    o AS (SELECT p.page_id, p.blk, h.blk AS at, h.text FROM p JOIN h ON h.page_id = p.page_id AND h.blk < p.blk
+        WHERE NOT EXISTS (SELECT 1 FROM h later WHERE later.page_id = p.page_id AND later.blk > h.blk AND later.blk < p.blk AND later.tag <= h.tag))
+    SELECT p.page_id::VARCHAR AS doc, coalesce(string_agg(o.text, ' > ' ORDER BY o.at), '') AS path, p.para_no, p.text
+    FROM p LEFT JOIN o ON o.page_id = p.page_id AND o.blk = p.blk GROUP BY p.page_id, p.blk, p.para_no, p.text""")
 def html_outline(spark, sf_dir):
     found = readers.page_outline(_t(spark, sf_dir, "pages"), key="page_id")
     return found.select("doc", F.array_join("path", " > ").alias("path"), "para_no", "text")

@@ -24,9 +24,9 @@ def reports_json(spark: SparkSession, path: str) -> DataFrame:
 
 def texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole files as ``path, text``."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    r = spark.read.option("recursiveFileLookup", True)
     r = r.option("pathGlobFilter", glob) if glob else r
-    return r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def java_sources(spark: SparkSession, path: str, suffix: str = ".java", skip: str = "test_dirs") -> DataFrame:
@@ -59,7 +59,7 @@ def prefer_cached(parsed: DataFrame, cached: DataFrame) -> DataFrame:
 
 def call_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Methods, calls and log templates of call-graph files, with their order."""
-    rows = spark.read.option("wholetext", True).text(path).select(
+    rows = spark.read.text(path, wholetext=True).select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("version"), F.from_json("value", schemas.CALL_GRAPH).alias("tree")
     )
     classes = rows.select("version", F.posexplode(F.map_entries("tree")).alias("class_ord", "c"))
@@ -75,7 +75,7 @@ def call_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def scores_text(spark: SparkSession, path: str, channel: str) -> DataFrame:
     """``name: score`` lines; of a name's lines the last counts."""
-    rows = spark.read.option("wholetext", True).text(path).select(
+    rows = spark.read.text(path, wholetext=True).select(
         names.report_id(F.col("_metadata.file_name")).alias("title"), F.posexplode(F.split("value", "\n")).alias("pos", "line")
     )
     whole = r"^(.*):\s*(\S+)\s*$"

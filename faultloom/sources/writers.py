@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import coverage
+
 
 def json_files(df: DataFrame, path: str, by: str | None = None, mode: str = "error") -> None:
     w = df.write.mode(mode)
@@ -48,3 +50,20 @@ def metric_lines(metrics: DataFrame) -> DataFrame:
     """Metrics as lines of text, ``Overall`` last."""
     value = F.format_string("%s: Accuracy@N %.4f, MRR %.4f, reports %d", "system", "accuracy_at_n", "mrr", "count")
     return metrics.orderBy(F.col("system") == "Overall", "system").select(value.alias("value"))
+
+
+def token_lines(df: DataFrame, path: str, mode: str = "error") -> None:
+    """The tokens of a report's segments, one on a line and in order, a folder a title."""
+    text = F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("segment_no", "tokens"))), lambda s: s["tokens"])), "\n")
+    df.groupBy("title").agg(text.alias("value")).repartition("title").write.mode(mode).partitionBy("title").text(path)
+
+
+def documents_by_name(df: DataFrame, path: str, stamp: str, mode: str = "append") -> None:
+    """``name, text`` as a folder a document, the crawl's ``stamp`` before its safe name."""
+    named = df.select(F.concat(F.lit(stamp + "_"), file_safe(F.col("name"))).alias("name"), F.col("text").alias("value"))
+    named.repartition("name").write.mode(mode).partitionBy("name").text(path)
+
+
+def coverage_csv(raw: DataFrame, path: str, mode: str = "error") -> None:
+    """Raw coverage in its order, with a header, as ``readers.coverage_csv`` reads it."""
+    coverage.ordered(raw).write.mode(mode).option("header", True).csv(path)

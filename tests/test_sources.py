@@ -66,11 +66,11 @@ def test_docx_and_xlsx(spark, tmp_path):
 
 def test_call_graph_scores_and_yaml(spark, tmp_path):
     tree = {"p.A": {"location": {"file": "A.java", "line": 1}, "methods": [{"p.A#m": {"location": {"file": "A.java", "line": 2}, "calls": [{"callee": "p.B#k", "line": 3}], "logs": [{"template": "x {}", "level": "info", "line": 4}]}}]}}
-    (tmp_path / "v-1.json").write_text(json.dumps(tree))
+    (tmp_path / "v-1.json").write_text(json.dumps(tree, indent=1))
     methods, calls, logs = readers.call_graph_json(spark, str(tmp_path / "v-1.json"))
     assert methods.first()["method"] == "p.A#m" and methods.first()["version"] == "v-1"
     assert (calls.first()["callee"], logs.first()["template"]) == ("p.B#k", "x {}")
-    (tmp_path / "R-1_vsm.txt").write_text("a.B#m: 0.5\nbroken\na.B#m: 0.25\n")
+    (tmp_path / "R-1_vsm.txt").write_text("a.B#m: 0.5\nbroken\na.B#m: 0.75\na.B#m: 0.25\n")
     assert [tuple(r) for r in readers.scores_text(spark, str(tmp_path / "R-1_vsm.txt"), "vsm").collect()] == [("R-1", "vsm", "a.B#m", 0.25)]
     (tmp_path / "c.yml").write_text("llm:\n  model: 'x'\n  url: http://a:1 # note\ntop: 3\n")
     assert readers.yaml_config(spark, str(tmp_path / "c.yml")) == {"llm": {"model": "x", "url": "http://a:1"}, "": {"top": "3"}}
@@ -86,6 +86,42 @@ def test_coverage_csv_and_writers(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["n: 0.9000", "m: 0.1235"]
 
 
+def test_readers_of_folders(spark, tmp_path):
+    for name, content in {"reports/a.json": '{"title": "R-1", "logs": ["x"]}', "reports/b.json": "{broken", "src/main/A.java": "class A {}", "src/test/B.java": "class B {}", "src/main/CTest.java": "class C {}", "src/main/d.txt": "text\nof d"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    assert {(r["title"], tuple(r["logs"] or ())) for r in readers.reports_json(spark, f"{tmp_path}/reports").collect() if r["title"]} == {("R-1", ("x",))}
+    assert [(r["path"].rsplit("/", 1)[-1], r["text"]) for r in readers.texts(spark, f"{tmp_path}/src", "*.txt").collect()] == [("d.txt", "text\nof d")]
+    java = lambda skip: {(r["project"], r["path"], r["content"]) for r in readers.java_sources(spark, f"{tmp_path}/src", skip=skip).collect()}
+    assert java("test_dirs") == {("src", "main/A.java", "class A {}"), ("src", "main/CTest.java", "class C {}")}
+    assert java("test_files") == {("src", "main/A.java", "class A {}"), ("src", "test/B.java", "class B {}")}
+    (tmp_path / "links.tsv").write_text("A\thttp://a\nbroken\nB\thttp://b\n")
+    assert {tuple(r) for r in readers.links_tsv(spark, f"{tmp_path}/links.tsv").collect()} == {("A", "http://a"), ("B", "http://b")}
+    (tmp_path / "R-1-classes.json").write_text('[{"class": "A", "type": "INFO", "content": "x", "line": null}, {"class": "B", "type": "WARN", "content": "y"}]')
+    assert {(r["title"], r["class"], r["type"]) for r in readers.cached_events(spark, f"{tmp_path}/R-1-classes.json").collect()} == {("R-1", "A", "INFO"), ("R-1", "B", "WARN")}
+
+
+def test_writers_of_folders(spark, tmp_path):
+    tokens = spark.createDataFrame([("R-1", 1, ["c"]), ("R-1", 0, ["a", "b"]), ("R-2", 0, [])], "title string, segment_no int, tokens array<string>")
+    writers.token_lines(tokens, f"{tmp_path}/tokens")
+    assert (tmp_path / "tokens" / "title=R-1").exists() and [r["value"] for r in spark.read.text(f"{tmp_path}/tokens/title=R-1").collect()] == ["a", "b", "c"]
+    writers.documents_by_name(spark.createDataFrame([("a/b", "{}")], "name string, text string"), f"{tmp_path}/docs", "20240101_000000")
+    assert [tuple(r) for r in spark.read.text(f"{tmp_path}/docs").select("name", "value").collect()] == [("20240101_000000_a_b", "{}")]
+    raw = spark.createDataFrame([("g", "b.m()", 1, 2, "t@1"), ("f", "a.m(B, C)", 0, 1, "t@2"), ("f", "a.m(B, C)", 0, 1, "s@2")], "filePath string, methodSig string, internalCovered int, internalTotal int, coveringTest string")
+    writers.coverage_csv(raw, f"{tmp_path}/coverage")
+    back = readers.coverage_csv(spark, f"{tmp_path}/coverage").drop("version")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, raw.collect()))
+    ranking = spark.createDataFrame([("R-1", i, f"m{i}", 1.0 / i) for i in range(1, 8)], "title string, rank int, method string, score double")
+    writers.total_scores(ranking, f"{tmp_path}/total")
+    row = spark.read.json(f"{tmp_path}/total").first()
+    assert row["title"] == "R-1" and [m["method"] for m in row["methods"]] == ["m1", "m2", "m3", "m4", "m5"]
+    writers.json_files(ranking, f"{tmp_path}/json", by="title")
+    writers.parquet_by(ranking, f"{tmp_path}/parquet", "title")
+    assert spark.read.json(f"{tmp_path}/json").count() == spark.read.parquet(f"{tmp_path}/parquet").count() == 7
+    metrics = spark.createDataFrame([("Overall", 3, 0.5, 0.25), ("A", 1, 1.0, 1.0)], "system string, count long, accuracy_at_n double, mrr double")
+    assert [r["value"] for r in writers.metric_lines(metrics).collect()] == ["A: Accuracy@N 1.0000, MRR 1.0000, reports 1", "Overall: Accuracy@N 0.5000, MRR 0.2500, reports 3"]
+
+
 def test_outline(spark):
     html = "<p>top</p><h1>One</h1><p>a&nbsp; b</p><h2>Two</h2><p>c<p>d</p><h1>Three</h1><p></p>"
     got = [(r["path"], r["text"]) for r in readers.page_outline(spark.createDataFrame([("u", html), ("v", None)], "url string, html string")).orderBy("para_no").collect()]
