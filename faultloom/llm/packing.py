@@ -34,8 +34,9 @@ CAPACITY = 4096
 END_ID = 2
 PIECE = 1024
 SHARD_PIECES = 2000
-#: Distinct words, and pieces between white space, whose ids a Python worker keeps; beyond that it starts anew.
-CACHED_WORDS = 700_000
+#: Distinct words, and pieces between white space, whose ids a Python worker keeps, and the bytes of the longest one kept;
+#: beyond the number it starts anew.  A worker outlives its stage, so what it keeps is missing in all that follow.
+CACHED_WORDS, CACHED_PIECES, CACHED_BYTES = 200_000, 100_000, 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -80,10 +81,12 @@ class Words(dict):
         self.shown = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        tokens = self.tokenize(word.encode().decode("latin-1").translate(self.shown))
-        self[word] = ids = array("I", [t.id for t in tokens]).tobytes()
+        data = word.encode()
+        ids = array("I", [t.id for t in self.tokenize(data.decode("latin-1").translate(self.shown))]).tobytes()
+        if len(data) <= CACHED_BYTES:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = ids
         return ids
 
 
@@ -96,12 +99,12 @@ class WordEncoder(dict):
     whole text if the tokenizer splits texts in another way than this.
     """
 
-    def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
+    def __init__(self, path: str, most_words: int = CACHED_WORDS, most: int = CACHED_PIECES) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.words = Words(self.tokenizer, most)
+        self.words = Words(self.tokenizer, most_words)
         parts = json.loads(self.tokenizer.to_str())
         self.quick = parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER and parts["post_processor"] is None
 
@@ -113,14 +116,15 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, data.split()))
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
         text = piece.decode()
         if UNSAFE.search(text):
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         else:
             ids = b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
-        self[piece] = ids
+        if len(piece) <= CACHED_BYTES:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
         return ids
 
 

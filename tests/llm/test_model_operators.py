@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -346,6 +347,21 @@ def test_packing_with_any_tokenizer(spark, name):
         assert own.encode(text) == ids[:-1].tobytes() and got[i, 0][1] == zlib.crc32(ids[:n].tobytes())
 
 
+def test_encoders_keep_few_bytes():
+    """A worker's memory stays small however many words, or however long ones, its texts have."""
+    own = packing.WordEncoder(default_tokenizer())
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(f"{1000 * i + j}".translate(letters) + "," for j in range(1000)) for i in range(350)]
+    texts += [" ".join("ab" * 2000 + f"{i}z{j}" for j in range(20)) for i in range(50)]
+    tracemalloc.start()
+    found = [zlib.crc32(own.encode(t)) for t in texts]
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    for i in (0, 170, 349, 350, 399):
+        assert found[i] == zlib.crc32(np.array(own.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes())
+    assert kept < 50e6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
