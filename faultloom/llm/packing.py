@@ -81,9 +81,10 @@ class Words(dict):
         self.shown = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
     def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        ids = array("I", [t.id for t in self.tokenize(data.decode("latin-1").translate(self.shown))]).tobytes()
-        if len(data) <= CACHED_BYTES:
+        # The quick way's ASCII characters all show as themselves.
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        if len(shown) <= CACHED_BYTES:
             if len(self) >= self.most:
                 self.clear()
             self[word] = ids
@@ -117,7 +118,9 @@ class WordEncoder(dict):
 
     def __missing__(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if UNSAFE.search(text):
+        if piece.isalpha():  # ASCII letters alone are one word
+            ids = self.words[text.lower()]
+        elif UNSAFE.search(text):
             ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         else:
             ids = b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
