@@ -53,8 +53,12 @@ def upstream_chains(targets: DataFrame, edges: DataFrame, depth: int = 1) -> Dat
 
 def closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """``start, node``: what each start reaches, itself included (semi-naive)."""
-    e = cut(edges.select("src", "dst").distinct())
-    reached = cut(starts.select(F.col("node").alias("start"), "node").distinct())
+    return _spread(cut(edges.select("src", "dst").distinct()), starts.select(F.col("node").alias("start"), "node"), most_rounds)
+
+
+def _spread(e: DataFrame, reached: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """``start, node`` rows and those that the edges ``e``, a checkpoint, lead to from them."""
+    reached = cut(reached.distinct())
     frontier = reached
     for k in range(most_rounds):
         step = frontier.join(e, frontier["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
@@ -67,6 +71,18 @@ def closure(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> Dat
     return reached
 
 
+def between(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges on ways from any root to any root; ``roots`` has ``node``.
+
+    All roots spread as one, so the work is in proportion to the edges, not to roots times nodes.
+    """
+    e = cut(edges.select("src", "dst").distinct())
+    marked = roots.select(F.lit(0).alias("start"), "node")
+    ahead = cut(e.join(_spread(e, marked).select(F.col("node").alias("src")), "src", "left_semi"))
+    behind = _spread(cut(ahead.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), marked)
+    return cut(ahead.join(behind.select(F.col("node").alias("dst")), "dst", "left_semi"))
+
+
 def in_system(edges: DataFrame, system: str) -> DataFrame:
     """Edges whose both ends belong to the system: traversal never leaves it."""
     return edges.filter(F.contains("src", F.lit(system)) & F.contains("dst", F.lit(system)))
@@ -90,14 +106,21 @@ def execution_edges(edges: DataFrame, log_methods: DataFrame, callers: DataFrame
 
     ``log_methods`` has ``title, method``.  An edge stays if its source is reached from a
     log method of the title and its target reaches one; direct callers come on top.
+
+    What is not between log methods is dropped before the closures, and titles with the same
+    log methods are settled once: a title never meets all that its methods reach.
     """
+    titles = cut(log_methods.filter("title IS NOT NULL").groupBy("title").agg(F.array_sort(F.collect_set("method")).alias("methods")))
+    members = titles.select("methods").distinct().select("methods", F.explode("methods").alias("method"))
     roots = log_methods.select(F.col("method").alias("node")).distinct()
+    edges = between(edges, roots)
     forward = closure(edges, roots)
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     backward = closure(turned, roots).select(F.col("start").alias("goal"), F.col("node").alias("dst"))
-    from_log = log_methods.select("title", F.col("method").alias("start")).join(forward, "start").select("title", F.col("node").alias("src")).distinct()
-    to_log = log_methods.select("title", F.col("method").alias("goal")).join(backward, "goal").select("title", "dst").distinct()
-    inner = edges.join(from_log, "src").join(to_log, ["title", "dst"]).select("title", "src", "dst").distinct()
+    from_log = members.select("methods", F.col("method").alias("start")).join(forward, "start").select("methods", F.col("node").alias("src")).distinct()
+    to_log = members.select("methods", F.col("method").alias("goal")).join(backward, "goal").select("methods", "dst").distinct()
+    inner = edges.join(from_log, "src").join(to_log, ["methods", "dst"]).select("methods", "src", "dst").distinct()
+    inner = titles.join(inner, "methods").select("title", "src", "dst")
     if callers is None:
         return inner
     above = log_methods.join(callers, log_methods["method"] == callers["callee"]).select("title", F.col("caller").alias("src"), F.col("callee").alias("dst"))

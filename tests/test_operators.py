@@ -172,3 +172,29 @@ def test_structured_reports(spark):
     assert got["f"]["logs"] == ["INFO org.apache.hadoop.X: a", "WARN org.apache.hadoop.Y: b"]
     assert got["f"]["stack_traces"] == ["at a.B.c(B.java:1)\nsee SomeError\nCaused by: z.QException: q", "at d.E.f(E.java)"]
     assert tuple(totals(out).first()) == (3, 2, 2)
+
+
+def test_execution_edges_of_many_titles(spark):
+    """Against brute force; a title's own leaves are never paired with the titles that share its method."""
+    draw = random.Random(5)
+    pairs = sorted({(draw.randrange(14), draw.randrange(14)) for _ in range(24)})
+    logs_of = {f"r{t}": sorted(draw.sample(range(14), draw.choice([1, 1, 2, 3]))) for t in range(40)}
+    reach = {n: {n} for n in range(14)}
+    for _ in range(14):
+        for s, d in pairs:
+            for seen in reach.values():
+                if s in seen:
+                    seen.add(d)
+    want = {(t, s, d) for t, ms in logs_of.items() for s, d in pairs if any(s in reach[m] for m in ms) and any(m in reach[d] for m in ms)}
+    edges = spark.createDataFrame(pairs, "src int, dst int")
+    logged = spark.createDataFrame([(t, m) for t, ms in logs_of.items() for m in ms], "title string, method int")
+    got = [tuple(r) for r in graph.execution_edges(edges, logged).select("title", "src", "dst").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_leaves_do_not_meet_titles(spark):
+    """2 000 titles log from one method with 2 000 leaves: 4 000 000 pairs of a title and a node if they met."""
+    edges = spark.range(2000).selectExpr("'m' AS src", "concat('leaf', id) AS dst").union(spark.createDataFrame([("m", "m")], "src string, dst string"))
+    logged = spark.range(2000).selectExpr("id AS title", "'m' AS method")
+    assert graph.between(edges, logged.select(F.col("method").alias("node"))).count() == 1
+    assert graph.execution_edges(edges, logged).filter("src = 'm' AND dst = 'm'").count() == 2000
