@@ -178,6 +178,10 @@ def page_links(html: Column, containing: str) -> Column:
     return F.filter(hrefs, lambda h: F.contains(h, F.lit(containing)))
 
 
+#: White space at the ends of a piece of text, and the blanks of Unicode at the ends of a whole one.
+_BLANKS, _SPACES = " \t\n\r\xa0", " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 class _Outline(html.parser.HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -196,10 +200,10 @@ class _Outline(html.parser.HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open:
-            self.text.append(data.strip())
+            self.text.append(data.strip(_BLANKS))
 
     def _close(self) -> None:
-        text = " ".join("".join(self.text).replace("\xa0", " ").split())
+        text = re.sub(f"[{_BLANKS}\f]+", " ", "".join(self.text)).strip(_SPACES)
         if self.open == "p":
             self.found.append(([h for _, h in self.path], text))
         elif self.open:
@@ -208,17 +212,21 @@ class _Outline(html.parser.HTMLParser):
         self.open = ""
 
 
-def page_outline(pages: DataFrame, key: str = "url", html_col: str = "html") -> DataFrame:
+def page_outline(pages: DataFrame, key: str = "url", html_col: str = "html", entities: tuple[str, ...] | None = None) -> DataFrame:
     """Paragraphs of pages with the headings above them: ``doc, path, para_no, text``.
 
-    A heading closes those of its level and below.  White space is collapsed.
+    A heading closes those of its level and below.  White space is collapsed.  Character
+    references are read as browsers do, ``&amp`` without semicolon too; with ``entities``
+    only those names, closed by a semicolon, are read and all other text is as it stands.
     """
+    other = entities and re.compile(rf"&(?!(?:{'|'.join(entities)});)")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc, content in zip(b["doc"], b["html"], strict=True):
                 parser = _Outline()
-                parser.feed(content or "")
+                parser.feed(other.sub("&amp;", content or "") if other else content or "")
                 parser.close()
                 parser._close()
                 rows += [(doc, path, i, text) for i, (path, text) in enumerate(parser.found)]
