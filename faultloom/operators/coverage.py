@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
-from .graph import closure
+from .graph import closure, cut
 
 # Where main and test code lies in each source layout (SQL LIKE patterns).
 LAYOUTS = {
@@ -22,6 +22,8 @@ LAYOUTS = {
     "hbase95": (("%/src/main/java/%",), ("%/src/test/java/%",)),
     "zookeeper": (("src/java/main/%", "src/java/generated/%"), ("src/java/test/%", "src/java/systest/%")),
 }
+#: Tests' labels are broadcast if there are no more than these.
+BROADCAST_LABELS = 100_000
 
 
 def file_kind(callables: DataFrame, layout: str | Column) -> DataFrame:
@@ -45,9 +47,9 @@ def method_listing(callables: DataFrame, pattern: str = "src/java/%") -> DataFra
 
 
 def direct_edges(calls: DataFrame, constructions: DataFrame) -> DataFrame:
-    """``src, dst``: method calls and constructor calls together."""
+    """``src, dst``: method calls and constructor calls together, an edge as often as it is called."""
     part = lambda df: df.select(F.col("enclosing").alias("src"), F.col("callee").alias("dst"))
-    return part(calls).union(part(constructions)).distinct()
+    return part(calls).union(part(constructions))
 
 
 def covered_sites(sites: DataFrame, test_edges: DataFrame) -> DataFrame:
@@ -63,20 +65,41 @@ def coverage_summary(callables: DataFrame, sites: DataFrame, edges: DataFrame) -
     """One row per main method and test that reaches it, with covered call sites.
 
     ``callables`` as ``schemas.CALLABLE`` with ``is_main, is_test``; only what tests reach
-    is closed over.
+    is closed over.  Edges may come more than once.
+
+    The closure runs over the callables that call others.  Tests that reach the same of them
+    are of one kind, told by their number and 128 bits of hashes, and all edges are met once
+    for a kind, not for a test; only the rows of the result pair tests and methods.
     """
+    label = F.concat_ws("@", F.concat_ws(".", "class", "name"), F.col("start_line").cast("string")).alias("coveringTest")
     tests = callables.filter("is_test")
-    reached = closure(edges, tests.select(F.col("id").alias("node")))
-    test_edges = edges.join(tests.select(F.col("id").alias("src")), "src")
-    counts = covered_sites(sites, test_edges)
-    label = tests.select(F.col("id").alias("start"), F.concat_ws("@", F.concat_ws(".", "class", "name"), F.col("start_line").cast("string")).alias("coveringTest"))
-    main = callables.filter("is_main").select("id", F.col("file").alias("filePath"), F.concat_ws(".", "class", "signature").alias("methodSig"))
-    return (
-        reached.join(main, reached["node"] == main["id"]).join(label, "start")
-        .join(counts, main["id"] == counts["enclosing"], "left")
-        .select("filePath", "methodSig", F.coalesce("hit", F.lit(0)).cast("int").alias("internalCovered"), F.coalesce("total", F.lit(0)).cast("int").alias("internalTotal"), "coveringTest")
+    calling = cut(edges.select(F.col("src").alias("node")).distinct())
+    starts = tests.select(F.col("id").alias("node")).join(calling, "node", "left_semi").distinct()
+    within = closure(edges.join(calling.select(F.col("node").alias("dst")), "dst", "left_semi"), starts)
+    alike = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("other"), "node")).alias("y")]
+    signed = cut(within.groupBy("start").agg(*alike))
+    kinds = cut(signed.join(signed.groupBy("n", "x", "y").agg(F.min("start").alias("kind")), ["n", "x", "y"]).select("start", "kind"))
+    inner = within.join(kinds.select(F.col("kind").alias("start")).distinct(), "start").select(F.col("start").alias("kind"), "node")
+    outer = inner.join(edges, inner["node"] == edges["src"]).select("kind", F.col("dst").alias("node"))
+    # a test that calls nothing reaches itself, a row only if it counts as main code too
+    alone = tests.filter("is_main").join(calling.withColumnRenamed("node", "id"), "id", "left_anti")
+    nodes = inner.union(outer).union(alone.select("id", "id")).distinct()
+    kind_of = kinds.union(alone.select("id", "id"))
+    # tests of one label are one test
+    labels = cut(
+        tests.select(F.col("id").alias("start"), label).join(kind_of, "start")
+        .groupBy("coveringTest").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    )
+    counts = covered_sites(sites, edges.join(starts.select(F.col("node").alias("src")), "src", "left_semi"))
+    main = callables.filter("is_main").select(F.col("id").alias("node"), F.col("file").alias("filePath"), F.concat_ws(".", "class", "signature").alias("methodSig"))
+    rows = (
+        labels.select("kinds").distinct().select("kinds", F.explode("kinds").alias("kind")).join(nodes, "kind").join(main, "node")
+        .join(counts, F.col("node") == F.col("enclosing"), "left")
+        .select("kinds", "filePath", "methodSig", F.coalesce("hit", F.lit(0)).cast("int").alias("internalCovered"), F.coalesce("total", F.lit(0)).cast("int").alias("internalTotal"))
         .distinct()
     )
+    few = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return rows.join(F.broadcast(labels) if few else labels, "kinds").drop("kinds")
 
 
 def method_coverage(raw: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -198,3 +198,45 @@ def test_leaves_do_not_meet_titles(spark):
     logged = spark.range(2000).selectExpr("id AS title", "'m' AS method")
     assert graph.between(edges, logged.select(F.col("method").alias("node"))).count() == 1
     assert graph.execution_edges(edges, logged).filter("src = 'm' AND dst = 'm'").count() == 2000
+
+
+def _summary_by_force(callables, sites):
+    """``coverage_summary`` of callables (id, class, name, file, start_line, is_main, is_test) and sites (id, enclosing, callee)."""
+    edges = {(s[1], s[2]) for s in sites}
+    tests = [c for c in callables if c[6]]
+    reach = {t[0]: {t[0]} for t in tests}
+    while any([not seen >= (more := {d for s, d in edges if s in seen}) and not seen.update(more) for seen in reach.values()]):
+        pass
+    called = {d for s, d in edges if s in reach}
+    out = set()
+    for t in tests:
+        for m in callables:
+            if m[5] and m[0] in reach[t[0]]:
+                own = {s for s in sites if s[1] == m[0]}
+                out.add((m[3], f"{m[1]}.{m[2]}()", sum(s[2] in called for s in own), len(own), f"{t[1]}.{t[2]}@{t[4]}"))
+    return out
+
+
+def test_coverage_summary_by_force(spark, monkeypatch):
+    """Cycles, equal labels and signatures, tests that call nothing, callables both main and test, repeated sites."""
+    shape = "id long, class string, name string, file string, start_line int, is_main boolean, is_test boolean"
+    for seed in range(2):
+        draw = random.Random(seed)
+        callables = [(i, f"C{i % 3}", f"m{draw.randrange(9)}", f"F{i % 2}", draw.randrange(2), draw.random() < 0.6, draw.random() < 0.4) for i in range(36)]
+        sites = [(draw.randrange(50), draw.randrange(18), draw.randrange(36)) for _ in range(40)]
+        given = spark.createDataFrame(callables, shape).withColumn("signature", F.concat("name", F.lit("()")))
+        places = spark.createDataFrame(sites, "id long, enclosing long, callee long")
+        monkeypatch.setattr(coverage, "BROADCAST_LABELS", 100 * seed)
+        got = coverage.coverage_summary(given, places, coverage.direct_edges(places, places.limit(3))).select("filePath", "methodSig", "internalCovered", "internalTotal", "coveringTest")
+        found = [tuple(r) for r in got.collect()]
+        assert len(found) == len(set(found)) and set(found) == _summary_by_force(callables, sites)
+
+
+def test_coverage_summary_closes_over_callers_only(spark, monkeypatch):
+    """Two tests, one of which calls the other, and 5 000 leaves: the closure has three rows, not 10 000."""
+    callables = spark.range(5002).selectExpr("id", "'C' AS class", "concat('m', id) AS name", "concat('m', id, '()') AS signature", "'F' AS file", "1 AS start_line", "id > 1 AS is_main", "id < 2 AS is_test")
+    sites = spark.range(2, 5002).selectExpr("id", "1L AS enclosing", "id AS callee").union(spark.createDataFrame([(0, 0, 1)], "id long, enclosing long, callee long"))
+    seen, closure = [], coverage.closure
+    monkeypatch.setattr(coverage, "closure", lambda *a: seen.append(closure(*a)) or seen[-1])
+    assert coverage.coverage_summary(callables, sites, coverage.direct_edges(sites, sites.limit(0))).count() == 10_000
+    assert seen[0].count() == 3
