@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +24,8 @@ TOKEN = re.compile(
 LOG_METHODS = {"debug", "info", "warn", "error", "trace", "fatal"}
 MODIFIERS = set("public protected private static final abstract native synchronized transient volatile strictfp default".split())
 NOT_METHODS = set("if for while switch catch synchronized return new throw else do try assert super this instanceof case".split())
+#: The facts that calls are resolved by.
+SYMBOL_KINDS = ("class", "inner", "import", "field", "variable", "method", "call")
 FACTS = "kind string, package string, class string, method string, name string, value string, extra string, line int, ord int"
 
 
@@ -222,17 +224,28 @@ def scan(code: str) -> list[tuple]:
     return _Scanner(code or "").run()
 
 
-def facts(sources: DataFrame) -> DataFrame:
-    """``project, path`` and the facts of each source file."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in FACTS.split(", ")]
+def facts(sources: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """``project, path`` and the facts of each source file, of some ``kinds`` only if they are named.
+
+    A table of sources can lie in few file parts, as small rows may make them up: files are
+    dealt out by their path first, so that all cores scan; the count is given, as AQE would
+    merge parts by bytes, and here a byte costs far more than elsewhere.
+    """
+    session = sources.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 3 * session.sparkContext.defaultParallelism)
+    shape = f"project string, path string, {FACTS}"
+    types = [pa.int32() if x.endswith(" int") else pa.string() for x in shape.split(", ")]
+    names = [x.split()[0] for x in shape.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 256):
-                some = b.iloc[at : at + 256]
-                rows = [(project, path, *fact) for project, path, content in zip(some["project"], some["path"], some["content"], strict=True) for fact in scan(content)]
-                yield pd.DataFrame(rows, columns=["project", "path", *names])
+            for at in range(0, b.num_rows, 256):
+                some = [c.to_pylist() for c in b.slice(at, 256).columns]
+                rows = [(project, path, *fact) for project, path, content in zip(*some, strict=True) for fact in scan(content) if not kinds or fact[0] in kinds]
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return sources.select("project", "path", "content").mapInPandas(run, f"project string, path string, {FACTS}")
+    return sources.select("project", "path", "content").repartition(parts, "project", "path").mapInArrow(run, shape)
 
 
 def methods(found: DataFrame) -> DataFrame:
@@ -270,7 +283,9 @@ def call_edges(found: DataFrame) -> DataFrame:
     from ..operators.graph import cut
     from ..operators.resolve import resolve_qualifiers, resolve_types
 
-    s = symbols(cut(found))  # read for every table: sources are scanned once
+    # read for every table: sources are scanned once, and bodies are not kept
+    found = cut(found.filter(F.col("kind").isin(*SYMBOL_KINDS)).withColumn("extra", F.when(F.col("kind") == "import", F.col("extra"))))
+    s = symbols(found)
     simple = (
         s["calls"].select("class", "package", F.element_at(F.split("qualifier", r"\."), 1).alias("name"))
         .union(s["fields"].join(found.select("class", "package").distinct(), "class").select("class", "package", "type"))

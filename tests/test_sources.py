@@ -151,3 +151,27 @@ def test_small_project_end_to_end(spark):
     ranking = localize(Inputs(reports, methods, calls, entries, templates, covered), LocalizationConfig()).orderBy("rank").collect()
     assert {r["method"] for r in ranking} == {f"{p}A#open", f"{p}B#check", f"{p}C#far"}
     assert [r["rank"] for r in ranking] == [1, 2, 3] and ranking[-1]["method"] == f"{p}C#far"
+
+
+def test_java_files_of_one_part_are_scanned_by_all_cores(spark):
+    one = spark.range(3000).coalesce(1).selectExpr("'p' AS project", "concat('P', id, '.java') AS path", "concat('class P', id, ' { void run() { LOG.info(1); } }') AS content")
+    assert one.rdd.getNumPartitions() == 1
+    assert javasrc.facts(one).rdd.getNumPartitions() > 1
+    assert javasrc.facts(one).count() == 9000 and javasrc.facts(one, ("log",)).count() == 3000
+    empty = javasrc.facts(one.limit(0))
+    assert empty.count() == 0 and javasrc.call_edges(empty).count() == 0
+
+
+def test_java_sources_are_scanned_once_for_calls(spark):
+    """A scan of a file is counted; calls, types and owners all read its facts."""
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            scans.add(b.num_rows)
+            yield b
+
+    sources = spark.createDataFrame([("p", "A.java", "package a; class A { B b; void run() { b.go(); } }"), ("p", "B.java", "package a; class B { void go() { } }")], "project string, path string, content string")
+    found = javasrc.facts(sources.mapInArrow(counted, sources.schema))
+    assert [(r["method"], r["callee"]) for r in javasrc.call_edges(found).collect()] == [("a.A#run", "a.B#go")]
+    assert scans.value == 2
